@@ -2,8 +2,9 @@
 
 Words and word pairs of every document are hashed into BUCKETS counts: one multinomial over all documents
 (raw), one over the trusted ones (target).  A document's score is the mean, over its words and word pairs, of
-log p(target) - log p(raw), with add-SMOOTH counts.  A document is kept if its base statistics are in order
-and its score reaches the threshold.
+log p(target) - log p(raw), with add-SMOOTH counts.  A document's own grams are taken out of both counts first,
+or rare words would speak for trusted documents and against all others.  A document is kept if its base
+statistics are in order and its score reaches the threshold.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from .scratch import Scratch
 from .trusted import flagged
 from .words import Words, blocks, hash_runs, sums
 
-BUCKETS, SMOOTH, THRESHOLD = 1 << 16, 0.5, -0.12
+BUCKETS, SMOOTH, THRESHOLD = 1 << 16, 2.0, -0.15
 MIN_WORDS, REPEAT_WINDOW, REPEAT_SHARE = 20, 8, 30
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -91,28 +92,30 @@ def gram_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return raw, target
 
 
-def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log p(target) - log p(raw) of each bucket; all zero if nothing is trusted."""
-    if not target.sum():
-        return np.zeros(BUCKETS)
-    p = lambda n: np.log((n + SMOOTH) / (n.sum() + SMOOTH * BUCKETS))
-    return p(target) - p(raw)
+def scores(w: Words, trusted: np.ndarray, raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Mean log p(target) - log p(raw) of each document of a block, its own counts left out; 0 if nothing else is trusted."""
+    bucket, doc = _buckets(w)
+    key, own = np.unique(doc * BUCKETS + bucket, return_counts=True)
+    bucket, doc = key % BUCKETS, key // BUCKETS
+    n = np.bincount(doc, own, minlength=w.n)
+    size_raw, size_target = raw.sum() - n, target.sum() - n * trusted
+    p_target = (target[bucket] - own * trusted[doc] + SMOOTH) / (size_target[doc] + SMOOTH * BUCKETS)
+    p_raw = (raw[bucket] - own + SMOOTH) / (size_raw[doc] + SMOOTH * BUCKETS)
+    score = np.bincount(doc, own * np.log(p_target / p_raw), minlength=w.n) / np.maximum(n, 1)
+    return np.where(size_target > 0, np.round(score, 9), 0.0)
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("score", pa.float64())])
 
 
-def _score_rows(ratio):
+def _score_rows(counts):
     def rows(batches):
-        weight = ratio.value
+        raw, target = counts.value
         for b in batches:
-            at, ids = 0, b["doc_id"].cast(pa.int64())
+            ids, trusted = b["doc_id"].cast(pa.int64()), np.array(b["trusted"].to_pylist(), bool)
             for lo, hi, w in blocks(b["text"]):
-                bucket, doc = _buckets(w)
-                n = np.bincount(doc, minlength=w.n)
-                score = np.round(np.bincount(doc, weight[bucket], minlength=w.n) / np.maximum(n, 1), 9)
+                score = scores(w, trusted[lo:hi], raw, target)
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *(pa.array(v.astype(np.int64)) for v in base_statistics(w).values()), pa.array(score)], schema=_SCORED)
-                at = hi
 
     return rows
 
@@ -125,10 +128,9 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     rows are each counted.  Without any trusted document every score is 0.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    raw, target = gram_counts(flagged(docs, trusted.select("doc_id"), "trusted"))
-    ratio = spark.sparkContext.broadcast(log_ratio(raw, target))  # BUCKETS numbers
-    out = docs.mapInArrow(_score_rows(ratio), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double")
+    docs = flagged(docs.select("doc_id", "text"), trusted.select("doc_id"), "trusted")
+    counts = spark.sparkContext.broadcast(gram_counts(docs))  # BUCKETS numbers twice
+    out = docs.mapInArrow(_score_rows(counts), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 
