@@ -175,7 +175,7 @@ class Lowerer:
         rows = rel.df.withColumns({f"__o{k}": o for k, o in enumerate(rel.order)} | {"__v": rel.value.col})
         entry = F.struct(*(F.col(f"__o{k}") for k in range(len(rel.order))), F.col("__v"))
         packed = F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["__v"])
-        empty = F.array().cast(list_of(rel.value.type).ddl)
+        empty = F.array().cast(f"array<{rows.schema['__v'].dataType.simpleString()}>")
         return self.scalar(replace(rel, df=rows), scope, packed, rel.type, empty)
 
     def n_paren(self, n, s):
@@ -1013,12 +1013,7 @@ class Lowerer:
                 src = self.as_val(self.lower(r.source, inner), inner)
                 ys = B.items(src)
 
-                def test(y, r=r, ys=ys):
-                    deep = inner.child()
-                    deep.names = {r.alias: Val(y, ys.type.item)}
-                    return self.val(r.cond, deep).col
-
-                hit = F.coalesce(F.exists(ys.col, test), F.lit(False))
+                hit = F.coalesce(F.exists(ys.col, self._meets(r, ys.type.item, inner)), F.lit(False))
                 ok = ok & (~hit if r.negate else hit)
             if n.where is not None:
                 ok = ok & self.truth(self.val(n.where, inner))
@@ -1045,6 +1040,14 @@ class Lowerer:
             out = self.array_sort(out, n.sort, s)
         return Val(F.get(out.col, F.lit(0)), t) if one else out
 
+    def _meets(self, r: Node, t: Type, inner: Scope):
+        def test(y):
+            deep = inner.child()
+            deep.names = {r.alias: Val(y, t)}
+            return self.val(r.cond, deep).col
+
+        return test
+
     def array_sort(self, xs: Val, sort, s) -> Val:
         t = xs.type.item
 
@@ -1118,7 +1121,7 @@ def _agg(make, result=None, empty=None):
             return None
         out = result or t
         col = make(rel.value.col, t)
-        return low.scalar(rel, s, col.cast(out.ddl), out, empty)
+        return low.scalar(rel, s, col.cast(out.ddl), out, None if empty is None else F.lit(empty))
 
     return run
 
@@ -1173,8 +1176,8 @@ SET_FORM = {
     "geometricmean": _agg(lambda c, t: F.when(F.min(c) > 0, F.round(F.exp(F.avg(F.ln(F.when(c > 0, c.cast("double"))))), 8)), DEC),
     "median": _agg(lambda c, t: F.median(c.cast("double")), DEC),
     "mode": lambda low, rel, args, s: low.scalar(rel, s, F.mode(rel.value.col, True), rel.value.type) if not rel.value.type.span and (rel.value.type.number or rel.value.type == STR) else None,
-    "alltrue": _agg(lambda c, t: F.bool_and(c), BOOL, F.lit(True)),
-    "anytrue": _agg(lambda c, t: F.bool_or(c), BOOL, F.lit(False)),
+    "alltrue": _agg(lambda c, t: F.bool_and(c), BOOL, True),
+    "anytrue": _agg(lambda c, t: F.bool_or(c), BOOL, False),
     "first": _first(False),
     "last": _first(True),
     "distinct": lambda low, rel, args, s: low.distinct(rel),
