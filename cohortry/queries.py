@@ -160,8 +160,8 @@ QUERIES = [
           "SELECT o_orderkey, count(l_orderkey) AS n, round(sum(l_quantity), 6) AS s, round(avg(l_quantity), 6) AS a, round(min(l_extendedprice), 6) AS lo, round(max(l_extendedprice), 6) AS hi, max(l_linenumber)::BIGINT AS d FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey", "o_orderkey"),
     Query("agg_median_mode", "Order", "define Q: Tuple { m: Median([Lineitem] L return L.l_quantity), o: Mode([Lineitem] L return L.l_returnflag) }", {"m": "double", "o": "string"},
           "SELECT o_orderkey, round(median(l_quantity), 6) AS m, (SELECT l_returnflag FROM lineitem WHERE l_orderkey = o_orderkey GROUP BY l_returnflag ORDER BY count(*) DESC, l_returnflag LIMIT 1) AS o FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey", "o_orderkey"),
-    Query("agg_variance", "Order", "define Q: Tuple { v: Variance([Lineitem] L return L.l_quantity), s: StdDev([Lineitem] L return L.l_quantity), p: PopulationVariance([Lineitem] L return L.l_quantity), q: PopulationStdDev([Lineitem] L return L.l_quantity) }", dict.fromkeys("vspq", "double"),
-          "SELECT o_orderkey, round(round(var_samp(l_quantity), 8), 6) AS v, round(round(stddev_samp(l_quantity), 8), 6) AS s, CASE WHEN count(l_quantity) >= 2 THEN round(round(var_pop(l_quantity), 8), 6) END AS p, CASE WHEN count(l_quantity) >= 2 THEN round(round(stddev_pop(l_quantity), 8), 6) END AS q FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey", "o_orderkey"),
+    Query("agg_variance", "Order", "define Q: Tuple { v: Round(Variance([Lineitem] L return L.l_quantity), 4), s: Round(StdDev([Lineitem] L return L.l_quantity), 4), p: Round(PopulationVariance([Lineitem] L return L.l_quantity), 4), q: Round(PopulationStdDev([Lineitem] L return L.l_quantity), 4) }", dict.fromkeys("vspq", "double"),
+          "SELECT o_orderkey, round(round(var_samp(l_quantity), 8), 4) AS v, round(round(stddev_samp(l_quantity), 8), 4) AS s, CASE WHEN count(l_quantity) >= 2 THEN round(round(var_pop(l_quantity), 8), 4) END AS p, CASE WHEN count(l_quantity) >= 2 THEN round(round(stddev_pop(l_quantity), 8), 4) END AS q FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey", "o_orderkey"),
     Query("agg_geomean", "Order", "define Q: Tuple { g: Round(GeometricMean([Lineitem] L return L.l_quantity), 4), p: Product({ 1, 2, 3 }) }", {"g": "double", "p": "bigint"}, "SELECT o_orderkey, round(round(exp(avg(ln(l_quantity))), 8), 4) AS g, 6::BIGINT AS p FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey", "o_orderkey"),
     Query("agg_all_any_true", "Order", "define Q: Tuple { a: AllTrue([Lineitem] L return L.l_quantity > 5.0), o: AnyTrue([Lineitem] L return L.l_quantity > 45.0) }", {"a": "boolean", "o": "boolean"},
           "SELECT o_orderkey, coalesce(bool_and(l_quantity > 5), true) AS a, coalesce(bool_or(l_quantity > 45), false) AS o FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey", "o_orderkey"),

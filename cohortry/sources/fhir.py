@@ -40,6 +40,12 @@ def with_subject(rows: DataFrame) -> DataFrame:
     return rows.withColumn("subjectId", F.regexp_extract(F.col("subject.reference"), r"(?:^|/)Patient/([^/]+)$", 1))
 
 
+def resolve(rows: DataFrame, reference: str, targets: DataFrame, kind: str) -> DataFrame:
+    """rows joined to the resource of a type that a reference column like Encounter/5 names; others get nulls."""
+    found = targets.select(F.col("id").alias("__id"), F.struct(*targets.columns).alias(kind.lower()))
+    return rows.join(found, F.regexp_extract(F.col(reference), rf"(?:^|/){kind}/([^/]+)$", 1) == F.col("__id"), "left").drop("__id")
+
+
 def fhir_model(tables: dict[str, DataFrame]) -> Model:
     """A model over resource tables by type name."""
     m = Model("FHIR")

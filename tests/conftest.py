@@ -1,5 +1,10 @@
 import os
+import sys
+from pathlib import Path
 
+ROOT = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import pytest
