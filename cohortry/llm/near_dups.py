@@ -6,7 +6,8 @@ two) by its own path, and its members part by the value there.  A node with few
 compared exhaustively, larger nodes branch on.  Members of a node that is still large at the last level agree
 on all chosen coordinates.  Comparison goes in two rounds, so that no group emits all its pairs:
 
-1. every member against the least member of its leaf or last node; verified links give components;
+1. every member of a node, at each level, against one of them; verified links give components.  The deeper the
+   node, the nearer its members, so this meets a text with ever nearer ones;
 2. every pair of a leaf or last node whose ends are not yet in one component.
 
 A pair inside one component can't change a component, so leaving it out loses nothing.  Every candidate is
@@ -26,7 +27,7 @@ from .components import components
 from .scratch import Scratch
 from .words import blocks
 
-COORDINATES, TREES, LEVELS, LEAF = 48, 10, 6, 48
+COORDINATES, TREES, LEVELS, LEAF = 48, 8, 14, 48
 #: Two sets at the threshold agree on fewer coordinates than this share of it with a chance below 1e-6.
 SKETCH_SHARE = 0.6
 #: Ids are sent to all executors only if there are at most so many.
@@ -140,24 +141,26 @@ def _chosen(path, sig):
     return F.when(F.expr(f"pmod(xxhash64({path}, 3), 4) = 0"), F.array(one, two)).otherwise(F.array(one))
 
 
-def chosen_paths(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(path, cid, n, last) of all leaves, and of nodes that are large at the last level; n: their size."""
-    rows = classes.select("cid", F.explode(F.sequence(F.lit(1), F.lit(TREES))).alias("tree"), "sig").select(
-        "cid", "sig", F.expr("xxhash64(tree, 77)").alias("path")
-    )
-    found = None
+def chosen_paths(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(path, cid, n) of the leaves and of the nodes that are large at the last level, n being their size; and
+    stars (a, b): members of every node against one of them, for larger nodes at each level another."""
+    rows = classes.select("cid", F.explode(F.sequence(F.lit(1), F.lit(TREES))).alias("tree"), "sig").select("cid", "sig", F.expr("xxhash64(tree, 77)").alias("path"))
+    found, stars = None, None
     for level in range(1, LEVELS + 1):
         rows = rows.select("cid", "path", F.explode(_chosen("path", "sig")).alias("c")).select("cid", F.expr(f"xxhash64(path, c.k, c.v, {level})").alias("path"))
-        sizes = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        # small nodes take their least member, so that trees agree; large ones any by chance
+        one = F.when(F.count("*") > LEAF, F.min_by("cid", F.xxhash64("path", "cid"))).otherwise(F.min("cid"))
+        sizes = rows.groupBy("path").agg(F.count("*").alias("n"), one.alias("pivot")).where("n > 1")
         last = level == LEVELS
-        rows = scratch.keep(rows.join(sizes, "path").select("path", "cid", "n", F.lit(last).alias("last")), f"level-{level}")
+        rows = scratch.keep(rows.join(sizes, "path").select("path", "cid", "n", "pivot"), f"level-{level}")
         leaves = rows if last else rows.where(F.col("n") <= LEAF)
-        found = leaves if found is None else found.union(leaves)
+        star = rows.where("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"))
+        found, stars = (leaves, star) if found is None else (found.union(leaves), stars.union(star))
         large = rows.where(F.col("n") > LEAF)
         if last or large.isEmpty():
-            return found
+            break
         rows = large.select("cid", "path").join(classes.select("cid", "sig"), "cid")
-    return found
+    return found.select("path", "cid", "n"), stars.distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
@@ -189,8 +192,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     classes = scratch.keep(
         seen.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("least_id"), F.min("tkey").alias("tkey"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")), "classes"
     )
-    nodes = chosen_paths(classes, scratch)
-    star = nodes.join(nodes.groupBy("path").agg(F.min("cid").alias("a")), "path").where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
+    nodes, star = chosen_paths(classes, scratch)
     args = (classes, texts.select("tkey", "text"), width, num, den, scratch)
     first = scratch.keep(_verified(star, *args, "first"), "first")
     roots = scratch.keep(components(first, scratch, "cc1"), "roots1")

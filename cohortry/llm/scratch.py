@@ -27,6 +27,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         # what a finished job shuffled is never read again: later steps start from the written tables
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+        # rows with whole texts or sets: few to a batch, so that Python workers stay small
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
