@@ -3,7 +3,8 @@
 A line of at least NEAR_CHARS code points is cut into EDITS + 1 segments; two lines within EDITS edits share one
 of them, shifted by few places.  So each line puts its segments into an index by (segment number, length,
 segment), and probes it for its own length and the EDITS shorter ones with the substrings that the multi-match
-bounds leave.  Candidates are verified by a banded bit-parallel edit distance.  Equal lines are one entry of
+bounds leave.  Candidates whose letter counts allow it are verified by a
+banded bit-parallel edit distance.  Equal lines are one entry of
 the index.  Lines linked, directly or through others, form a class; all but its first occurrence, by document
 and line, are dropped.  Lines under LEAST_CHARS are let be; between the two limits only equal lines are dropped.
 """
@@ -71,6 +72,23 @@ def within_edits(a: str, b: str, edits: int = EDITS) -> Column:
     return F.expr(f"CASE WHEN abs(length({a}) - length({b})) > {k} THEN false WHEN length({short}) <= {k} THEN length({long}) <= {k} OR levenshtein({a}, {b}) <= {k} ELSE {whole} <= {k} END")
 
 
+#: Letters by group: an edit changes the count of a group by one at most.
+BAGS = ("ae", "io", "ur", "tn", "sh", "ld", "cm", ", .")
+
+
+def bag(line: str) -> Column:
+    """How many characters of each group a line has."""
+    return F.array(*(F.length(line) - F.length(F.translate(F.col(line), g, "")) for g in BAGS))
+
+
+def near_bags(a: str, b: str, edits: int) -> Column:
+    """A condition that lines within edits meet: no group's count differs by more."""
+    out = F.lit(True)
+    for k in range(len(BAGS)):
+        out = out & (F.abs(F.col(a)[k] - F.col(b)[k]) <= edits)
+    return out
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """Occurrences of the lines that count: document (d, rid), number, digest, line, n."""
     each = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
@@ -84,7 +102,8 @@ def _linked(pairs: DataFrame, lines: DataFrame, edits: int, scratch: Scratch, na
     ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), f"{name}-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = scratch.keep(lines.select("digest", "line").join(F.broadcast(ids) if few else ids, "digest"), f"{name}-texts")
-    both = pairs.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
+    texts = texts.withColumn("bag", bag("line"))
+    both = pairs.join(texts.toDF("a", "la", "ba"), "a").join(texts.toDF("b", "lb", "bb"), "b").where(near_bags("ba", "bb", edits))
     return both.where(within_edits("la", "lb", edits)).select("a", "b")
 
 
@@ -111,11 +130,13 @@ def line_classes(docs: DataFrame, edits: int = EDITS, scratch: Scratch | None =
         star = all_.join(all_.where("indexed").groupBy("key").agg(F.min("digest").alias("a")), "key").where("a <> digest").select("a", F.col("digest").alias("b"))
         links = scratch.keep(links.union(_linked(star, lines, edits, scratch, "star")), "links-star")
         roots = scratch.keep(components(links, scratch, "cc-star"), "roots-star")
+        bags = all_.select("digest").distinct().join(lines.select("digest", bag("line").alias("bag")), "digest")
         held = all_.join(roots.withColumnRenamed("id", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+        held = scratch.keep(held.join(bags, "digest"), "hot-held")
         per = held.groupBy("key", "root").agg(F.count("*").alias("k"))
         main = per.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-        odd = held.join(main, "key").where("root <> main").select("key", F.col("digest").alias("other"), F.col("root").alias("r2"), F.col("indexed").alias("i2"))
-        rest = held.join(odd, "key").where("root <> r2 AND (indexed OR i2)").select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b"))
+        odd = held.join(main, "key").where("root <> main").select("key", F.col("digest").alias("other"), F.col("root").alias("r2"), F.col("indexed").alias("i2"), F.col("bag").alias("bag2"))
+        rest = held.join(odd, "key").where(F.expr("root <> r2 AND (indexed OR i2)") & near_bags("bag", "bag2", edits)).select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b"))
         links = scratch.keep(links.union(_linked(rest, lines, edits, scratch, "rest")), "links-rest")
     roots = scratch.keep(components(links, scratch, "cc"), "roots").withColumnRenamed("id", "digest")
     alone = lines.where("copies > 1").join(roots, "digest", "left_anti").select("digest", F.col("place").alias("first"))
@@ -125,7 +146,8 @@ def line_classes(docs: DataFrame, edits: int = EDITS, scratch: Scratch | None =
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, scratch: Scratch | None = None) -> DataFrame:
-    """docs with the text rid of repeated lines, and columns n_lines, n_dropped (all columns of docs stay).
+    """docs with the text rid of repeated lines, and columns n_lines, n_dropped (all columns of docs stay, but for
+    older ones of these two names).
 
     docs needs doc_id and text.  A null text stays null with no lines; an empty text is one empty line.
     Repeated rows (equal doc_id and text) are one document and keep the same lines; a null doc_id comes
@@ -142,4 +164,4 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, scratch: Scratch | None = N
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__drops", i)), "\n")
     n_dropped = F.when(F.col("__drops").isNull(), 0).otherwise(F.size("__drops"))
     out = hit.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"), "n_dropped": n_dropped.cast("long"), "text": F.when(F.col("__drops").isNull(), F.col("text")).otherwise(kept)})
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    return out.select(*(c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")
