@@ -8,10 +8,11 @@ on all chosen coordinates.  Comparison goes in two rounds, so that no group emit
 
 1. every member of a node, at each level, against one of them; verified links give components.  The deeper the
    node, the nearer its members, so this meets a text with ever nearer ones;
-2. every pair of a leaf or last node whose ends are not yet in one component.
+2. in each leaf or last node, the members outside its main component with all others, block by block: a block
+   pair gives the sizes of all its intersections at once, and only verified links come out.
 
-A pair inside one component can't change a component, so leaving it out loses nothing.  Every candidate is
-first held against the sketches (far below the threshold only) and then verified on full sets.
+A pair inside one component can't change a component, so leaving it out loses nothing.  Every candidate of
+the first round is held against the sketches (far below the threshold only); all links are verified on full sets.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .components import components
 from .scratch import Scratch
 from .words import blocks
 
-COORDINATES, TREES, LEVELS, LEAF = 48, 8, 14, 48
+COORDINATES, TREES, LEVELS, LEAF, BLOCK = 48, 8, 14, 48, 128
 #: Two sets at the threshold agree on fewer coordinates than this share of it with a chance below 1e-6.
 SKETCH_SHARE = 0.6
 #: Ids are sent to all executors only if there are at most so many.
@@ -133,6 +134,56 @@ def _verify_rows(num: int, den: int):
     return rows
 
 
+def shared(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all of y, through their incidence matrices, some columns at a time."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    both = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+    if not len(both):
+        return out
+
+    def places(sets):
+        found = []
+        for k, s in enumerate(sets):
+            at = np.searchsorted(both, s)
+            at[at == len(both)] = 0
+            at = at[both[at] == s]
+            found.append((np.full(len(at), k), at))
+        row, col = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(col, kind="stable")
+        return row[order], col[order]
+
+    (xr, xc), (yr, yc) = places(x), places(y)
+    for lo in range(0, len(both), columns):
+        parts = []
+        for n, row, col in ((len(x), xr, xc), (len(y), yr, yc)):
+            m = np.zeros((n, columns), np.float32)
+            s, e = np.searchsorted(col, [lo, lo + columns])
+            m[row[s:e], col[s:e] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _block_rows(num: int, den: int):
+    """Verified links between two blocks whose ends are not in one component."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def rows(batches):
+        for batch in batches:
+            found = set()
+            for x, y in zip(batch["x"], batch["y"]):
+                x, y = x.as_py(), y.as_py()
+                sx, sy = ([np.frombuffer(m["shingles"], np.uint64) for m in side] for side in (x, y))
+                inter = shared(sx, sy)
+                total = np.array([len(s) for s in sx])[:, None] + np.array([len(s) for s in sy])[None] - inter
+                roots = np.array([m["root"].hex() for m in x])[:, None] != np.array([m["root"].hex() for m in y])[None]
+                for i, j in zip(*np.nonzero(roots & (den * inter >= num * total))):
+                    found.add(tuple(sorted((x[i]["cid"], y[j]["cid"]))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*sorted(found)) if found else ([], []))], schema=schema)
+
+    return rows
+
+
 def _chosen(path, sig):
     """Coordinates that a node selects: one always, a second at every fourth node; with the value there."""
     at = lambda x: F.expr(f"substring(sig, cast(pmod({x}, {COORDINATES}) as int) * 4 + 1, 4)")
@@ -163,16 +214,21 @@ def chosen_paths(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     return found.select("path", "cid", "n"), stars.distinct()
 
 
+def _sets(ids: DataFrame, classes: DataFrame, texts: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
+    """(cid, shingles) of the classes named in ids (cid, no row twice)."""
+    ids = scratch.keep(ids.join(classes.select("cid", "tkey"), "cid"), f"{name}-ids")
+    few = ids.count() <= BROADCAST_IDS
+    rep = texts.join(F.broadcast(ids) if few else ids, "tkey").groupBy("cid").agg(F.first("text").alias("text"))
+    return scratch.keep(rep.mapInArrow(_set_rows(width), "cid binary, shingles binary"), f"{name}-sets")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of class ids that reach the threshold on full sets."""
     of = lambda c, s: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(s), F.col("tkey").alias(f"k{c}"))
     sized = pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").where(F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)"))
     least = int(COORDINATES * SKETCH_SHARE * num / den)
     near = scratch.keep(sized.select("a", "b", "sa", "sb").mapInArrow(_agree_rows(least), "a binary, b binary"), f"{name}-near")
-    ids = scratch.keep(near.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "tkey"), "cid"), f"{name}-ids")
-    few = ids.count() <= BROADCAST_IDS
-    rep = texts.join(F.broadcast(ids) if few else ids, "tkey").groupBy("cid").agg(F.first("text").alias("text"))
-    sets = scratch.keep(rep.mapInArrow(_set_rows(width), "cid binary, shingles binary"), f"{name}-sets")
+    sets = _sets(near.select(F.col("a").alias("cid")).union(near.select("b")).distinct(), classes, texts, width, scratch, name)
     both = near.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
     return both.select("a", "b", "xa", "xb").mapInArrow(_verify_rows(num, den), "a binary, b binary")
 
@@ -200,16 +256,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     held = scratch.keep(held, "held")
     mixed = held.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("path")
     held = held.join(mixed, "path")
-    # leaves are bounded, so their members may be gathered; in larger nodes the odd ones meet all the others
-    small = held.where(F.col("n") <= LEAF).groupBy("path").agg(F.collect_list(F.struct("cid", "root")).alias("m"))
-    pairs = small.select(F.explode(F.expr("flatten(transform(m, x -> transform(filter(m, y -> y.cid > x.cid AND y.root <> x.root), y -> struct(x.cid AS a, y.cid AS b))))")).alias("p")).select("p.a", "p.b")
-    large = held.where(F.col("n") > LEAF)
-    per = large.groupBy("path", "root").agg(F.count("*").alias("k"))
+    per = held.groupBy("path", "root").agg(F.count("*").alias("k"))
     main = per.groupBy("path").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    odd = large.join(main, "path").where("root <> main").select("path", F.col("cid").alias("x"), F.col("root").alias("rx"))
-    wide = large.join(odd, "path").where("root <> rx").select(F.least("cid", "x").alias("a"), F.greatest("cid", "x").alias("b"))
-    rest = pairs.union(wide).distinct().join(first, ["a", "b"], "left_anti")
-    second = _verified(rest, *args, "second")
+    blocks_of = F.ceil(F.col("n") / BLOCK).cast("int")
+    held = held.join(main, "path").withColumns({"parts": blocks_of, "odd": F.col("root") != F.col("main")})
+    held = held.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    sets = _sets(held.select("cid").distinct(), classes, args[1], width, scratch, "second")
+    full = held.join(sets, "cid")
+    block = F.collect_list(F.struct("cid", "root", "shingles"))  # BLOCK members or so
+    every = full.groupBy("path", "block").agg(block.alias("y"))
+    odds = full.where("odd").groupBy("path", F.col("block").alias("own")).agg(block.alias("x"), F.first("parts").alias("parts"))
+    odds = odds.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    second = odds.join(every, ["path", "block"]).select("x", "y").mapInArrow(_block_rows(num, den), "a binary, b binary").distinct()
     links = scratch.keep(first.union(second), "links")
     roots = scratch.keep(components(links, scratch, "cc2"), "roots2")
     named = classes.select("cid", "least_id").join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))

@@ -29,6 +29,7 @@ class Scratch:
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         # rows with whole texts or sets: few to a batch, so that Python workers stay small
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
