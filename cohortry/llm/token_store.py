@@ -28,14 +28,19 @@ _rng = np.random.Generator(np.random.PCG64(11))
 _GEAR = _rng.integers(1, 2**63, 1 << 17, dtype=np.uint64)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document: where the rolling hash says so, LEAST to MOST ids apart."""
-    n = len(ids)
-    h = _GEAR[ids & ((1 << 17) - 1)].copy()
-    for k in range(1, min(WINDOW, n)):  # position i sums the shifted values of ids i-7..i
-        h[k:] += _GEAR[ids[:-k] & ((1 << 17) - 1)] << np.uint64(k)
-    found, ends, last = np.flatnonzero((h >> np.uint64(20)) & np.uint64(MASK) == 0) + 1, [], 0
-    for e in found.tolist():
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Positions after which the rolling hash of the last WINDOW ids asks for a cut."""
+    gear = _GEAR[ids & ((1 << 17) - 1)]
+    h = gear.copy()
+    for k in range(1, min(WINDOW, len(ids))):
+        h[k:] += gear[:-k] << np.uint64(k)
+    return np.flatnonzero((h >> np.uint64(20)) & np.uint64(MASK) == 0) + 1
+
+
+def cuts(n: int, found: list[int]) -> list[int]:
+    """Ends of the chunks of n ids: at the marks found, LEAST to MOST ids apart."""
+    ends, last = [], 0
+    for e in found:
         while e - last > MOST:
             last += MOST
             ends.append(last)
@@ -66,7 +71,7 @@ def _pack(ids: bytes) -> bytes:
 
     x = np.frombuffer(ids, "<u4")
     small = not len(x) or int(x.max()) < 65536
-    return (b"s" if small else b"l") + zstandard.compress(x.astype("<u2").tobytes() if small else ids, 3)
+    return (b"s" if small else b"l") + zstandard.compress(x.astype("<u2").tobytes() if small else ids, 1)
 
 
 def _unpack(data: bytes) -> bytes:
@@ -84,11 +89,16 @@ def _encode_rows(vocab: str, end_id: int):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part, cols = b.slice(lo, 256), ([], [], [], [])
-                for raw in enc.encode(part["text"].to_pylist()):
-                    raw += end
-                    ids = np.frombuffer(raw, "<u4")
-                    ends = cuts(ids)
-                    cols[0].append(len(ids))
+                coded = [raw + end for raw in enc.encode(part["text"].to_pylist())]
+                first = np.cumsum([0, *(len(raw) // 4 for raw in coded)])
+                # all documents at once; a mark whose window reaches back into another document doesn't count
+                at = marks(np.frombuffer(b"".join(coded), "<u4"))
+                doc = np.searchsorted(first, at, "left") - 1
+                at, doc = (x[at - first[doc] >= WINDOW] for x in (at, doc))
+                split = np.split(at, np.searchsorted(doc, np.arange(1, len(coded))))
+                for k, raw in enumerate(coded):
+                    ends = cuts(len(raw) // 4, (split[k] - first[k]).tolist())
+                    cols[0].append(len(raw) // 4)
                     cols[1].append(b"".join(digest(raw[4 * s : 4 * e]) for s, e in zip([0, *ends], ends)))
                     cols[2].append(np.array(ends, "<i8").tobytes())
                     cols[3].append(_pack(raw))

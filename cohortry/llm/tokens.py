@@ -12,13 +12,14 @@ import re
 
 import numpy as np
 
-#: Pieces a worker remembers; beyond it the memory starts anew.
-MEMORY = 500_000
+#: Pieces in one of the two generations that a worker remembers: when the younger is full, it becomes the older,
+#: from which pieces are taken over when they are met again.
+MEMORY = 300_000
 _SPACED = re.compile(r"\s ")
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: Letters, and marks that end a word: two pre-tokens at most.
-_WORD = re.compile(r"([^\W\d_]+)([.,;:!?]*)")
+_WORD = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -46,6 +47,7 @@ class Encoder:
         path = vocabulary(name)
         self.known: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.older: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
         self.by_piece = False
         if path.endswith(".model"):
             import sentencepiece
@@ -87,18 +89,33 @@ class Encoder:
         return [np.array(ids, "<u4").tobytes() for ids in self.many(texts)]
 
     def _learn(self, memory: dict[str, bytes], pieces: set[str], lead: str) -> None:
+        """See that the memory has all pieces."""
         if len(memory) > MEMORY:
+            self.older[lead] = dict(memory)
             memory.clear()
-        missing = [p for p in pieces if p not in memory]
+        missing = pieces.difference(memory)
+        older = self.older[lead]
+        again = [p for p in missing if p in older]
+        memory.update(zip(again, map(older.__getitem__, again)))
+        missing.difference_update(again)
         if lead and missing:
-            cut = {p: m.groups() for p in missing if (m := _WORD.fullmatch(p))}
-            alone = [w for w in {w for w, _ in cut.values()} if w not in memory]
+            alone, cut = [p for p in missing if p.isalpha()], []
+            have = {*alone}
+            for p in missing:
+                if p not in have and (m := _WORD.fullmatch(p)):
+                    cut.append((p, *m.groups()))
+            stems = {w for _, w, _ in cut}.difference(memory) - have
+            taken = [w for w in stems if w in older]
+            memory.update(zip(taken, map(older.__getitem__, taken)))
+            alone += stems.difference(taken)
             for lo in range(0, len(alone), 4096):
                 memory.update(zip(alone[lo : lo + 4096], self._words(alone[lo : lo + 4096])))
-            self._learn(self.known, {tail for _, tail in cut.values() if tail}, "")
-            memory.update((p, memory[w] + self.known[tail]) for p, (w, tail) in cut.items() if tail)
-            missing = [p for p in missing if p not in memory]
-        memory.update(zip(missing, self._bytes([lead + p for p in missing])))
+            self._learn(self.known, {tail for _, _, tail in cut}, "")
+            known = self.known
+            memory.update((p, memory[w] + known[tail]) for p, w, tail in cut)
+            missing = missing.difference(memory)
+        rest = list(missing)
+        memory.update(zip(rest, self._bytes([lead + p for p in rest])))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
@@ -117,15 +134,17 @@ class Encoder:
             else:
                 plain.append(None)
                 (whole if _ODD.search(t) else split).append(t)
-        self._learn(self.spaced, {p for parts in plain if parts for p in parts[1:]}, " ")
+        firsts = {parts[0] for parts in plain if parts}
+        rests = [parts[1:] if parts else parts for parts in plain]
+        self._learn(self.spaced, set().union(*(parts for parts in rests if parts)), " ")
         cut = {t: _PIECE.findall(t) for t in split}
-        self._learn(self.known, {parts[0] for parts in plain if parts} | {p for parts in cut.values() for p in parts}, "")
+        self._learn(self.known, firsts.union(*cut.values()), "")
         entire = dict(zip(whole, self._bytes(whole)))
         known, spaced = self.known.__getitem__, self.spaced.__getitem__
         out = []
-        for t, parts in zip(texts, plain):
+        for t, parts, rest in zip(texts, plain, rests):
             if parts:
-                out.append(known(parts[0]) + b"".join(map(spaced, parts[1:])))
+                out.append(known(parts[0]) + b"".join(map(spaced, rest)))
             else:
                 out.append(entire[t] if t in entire else b"".join(map(known, cut[t])))
         return out
