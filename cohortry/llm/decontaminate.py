@@ -1,14 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-The word n-grams of the test items are counted over all training documents.  Of every few successive n-grams
-of an item the rarest are its seeds, so any longer part of an item holds some, however common it is.  Where
-seeds occur in a document, the item is aligned with the words around (match +1, mismatch and gap -1); the
-score is that of the best local alignment, so single changed, added or missing words cost little.
+"""Benchmark decontamination: word pairs confirmed jointly, then Smith-Waterman alignment.
+
+The score of a document and a test item is that of their best local alignment (match +1, mismatch and gap -1), so
+single changed, added or missing words cost little.  An alignment of score s consists of runs of equal words
+with an edit or more between each two, so it holds s - 1 pairs of successive words or more that stand on both sides, at
+different places, within twice the item's words.  Where a document has that many of an item's pairs so close
+together, the item is aligned with the words around; no other place can reach the score, however frequent or
+rare the pairs are.
 """
 
 from __future__ import annotations
 
 from itertools import pairwise
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .words import Words, blocks
 
-NGRAM, BLOCK, RAREST = 3, 6, 2
+#: Words to a seed; an item of one word is its own.
+NGRAM = 2
 #: A hit needs this share of the item's words as score, SURE at most and SOME at least (or the whole item).
 SHARE, SURE, SOME = 0.5, 13, 8
 #: Test items sent to all executors at once; more are taken in blocks.
@@ -62,6 +66,9 @@ class Items:
         self.gram = self.gram[order]
         self.owner = np.concatenate([*owner, np.zeros(0, np.int64)]).astype(np.int64)[order]
         self.place = np.concatenate([*place, np.zeros(0, np.int64)]).astype(np.int64)[order]
+        self.size = np.array([len(h) for h in self.words], np.int64)
+        #: n-grams that an alignment of the needed score holds at least
+        self.least = np.array([max(ceil(needed(len(h))) - 1, 1) for h in self.words], np.int64)
         self.lengths = sorted({min(NGRAM, len(h)) for h in self.words if len(h)})
 
     def hits(self, w: Words, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,17 +83,6 @@ class Items:
             where.append(at[ok])
         return np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*where, np.zeros(0, np.int64)]).astype(np.int64)
 
-    def rarest(self, counts: np.ndarray) -> np.ndarray:
-        """Positions of the seeds: of every BLOCK successive n-grams of an item the RAREST rarest."""
-        keep = []
-        order = np.lexsort((self.place, self.owner))
-        edges = np.flatnonzero(np.diff(self.owner[order])) + 1
-        for own in np.split(order, edges):
-            for lo in range(0, max(len(own) - BLOCK, 0) + 1):
-                some = own[lo : lo + BLOCK]
-                keep.append(some[np.argsort(counts[some], kind="stable")[:RAREST]])
-        return np.unique(np.concatenate(keep)) if keep else np.zeros(0, np.int64)
-
 
 class _Only:
     """Words of a single text, as grams() needs them."""
@@ -95,50 +91,51 @@ class _Only:
         self.hash, self.doc = h, np.zeros(len(h), np.int64)
 
 
-def _count_rows(shared):
-    def rows(batches):
-        items = shared.value
-        distinct = np.unique(items.gram)
-        total = np.zeros(len(distinct), np.int64)
-        for b in batches:
-            for _, _, w in blocks(b["text"], lower=True):
-                k, _ = items.hits(w, distinct)
-                total += np.bincount(k, minlength=len(distinct))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
-
-    return rows
+_HIT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.int64()), ("item_words", pa.int64()), ("doc_word", pa.int64())])
 
 
-_HIT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.int64()), ("item_words", pa.int64()), ("doc_word", pa.int64())])
+def _regions(items: Items, at: np.ndarray, doc: np.ndarray, one: np.ndarray):
+    """(document, item, first, last place) of the stretches that hold enough n-grams of an item close together; at, doc
+    and one are the places, documents and positions in items.gram of all hits."""
+    order = np.lexsort((at, items.owner[one], doc))
+    at, doc, one = at[order], doc[order], one[order]
+    item, place = items.owner[one], items.place[one]
+    fresh = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(at) != 0)))
+    until = np.append(fresh[1:], len(at))
+    at, doc, item = at[fresh], doc[fresh], item[fresh]
+    least, reach = items.least[item], 2 * items.size[item]
+    far = np.arange(len(at)) + least - 1
+    ok = far < len(at)
+    far[~ok] = 0
+    ok &= (doc[far] == doc) & (item[far] == item) & (at[far] - at <= reach)
+    cover = np.bincount(np.flatnonzero(ok), minlength=len(at) + 1) - np.bincount(far[ok] + 1, minlength=len(at) + 1)
+    held = np.flatnonzero(np.cumsum(cover[: len(at)]))
+    if not len(held):
+        return
+    at, doc, item = at[held], doc[held], item[held]
+    new = np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(at) > reach[held][1:]))
+    for s, e in pairwise(np.append(np.flatnonzero(new), len(at)).tolist()):
+        if len(np.unique(place[fresh[held[s]] : until[held[e - 1]]])) >= least[held[s]]:
+            yield int(doc[s]), int(item[s]), int(at[s]), int(at[e - 1])
 
 
 def _hit_rows(shared):
     def rows(batches):
-        items, seeds = shared.value
-        values = items.gram[seeds]
-        distinct, first = np.unique(values, return_index=True)
-        last = np.append(first[1:], len(values))
+        items = shared.value
+        distinct, first, n = np.unique(items.gram, return_index=True, return_counts=True)
         for b in batches:
             out, ids = [], b["doc_id"].to_pylist()
             for lo, _, w in blocks(b["text"], lower=True):
                 k, at = items.hits(w, distinct)
                 if not len(k):
                     continue
-                n = (last - first)[k]
-                one = np.concatenate([seeds[first[x] : last[x]] for x in k])
-                at = np.repeat(at, n)
-                doc, item = w.doc[at], items.owner[one]
-                order = np.lexsort((at, item, doc))
-                doc, item, at = doc[order], item[order], at[order]
-                reach = np.array([len(x) for x in items.words])[item]
-                new = np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(at) > 2 * reach[1:]))
-                edges = np.append(np.flatnonzero(new), len(at))
+                each = n[k]
+                one = np.repeat(first[k] - np.cumsum(each) + each, each) + np.arange(each.sum())
+                at = np.repeat(at, each)
                 best: dict[tuple[int, int], tuple[int, int]] = {}
-                for s, e in pairwise(edges.tolist()):
-                    d, i = int(doc[s]), int(item[s])
+                for d, i, s, e in _regions(items, at, w.doc[at], one):
                     m = len(items.words[i])
-                    a, z = max(int(at[s]) - 2 * m, int(w.first[d])), min(int(at[e - 1]) + 2 * m, int(w.first[d + 1]))
+                    a, z = max(s - 2 * m, int(w.first[d])), min(e + 2 * m, int(w.first[d + 1]))
                     score, end = align(items.words[i], w.hash[a:z])
                     if score >= needed(m) and score > best.get((d, i), (0, 0))[0]:
                         best[d, i] = score, a + end - int(w.first[d])
@@ -159,13 +156,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs, found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
     for ids, texts in _item_blocks(benchmark):
         items = Items(ids, texts)
-        counted = docs.select("text").mapInArrow(_count_rows(spark.sparkContext.broadcast(items)), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-        distinct = np.unique(items.gram)
-        counts = np.zeros(len(distinct), np.int64)
-        for r in counted.collect():  # one row for each n-gram of the block at most
-            counts[r["k"]] = r["n"]
-        seeds = items.rarest(counts[np.searchsorted(distinct, items.gram)])
-        hits = docs.mapInArrow(_hit_rows(spark.sparkContext.broadcast((items, seeds))), "doc_id long, item_id long, score long, item_words long, doc_word long")
+        hits = docs.mapInArrow(_hit_rows(spark.sparkContext.broadcast(items)), "doc_id long, item_id long, score long, item_words long, doc_word long")
         found = hits if found is None else found.union(hits)
     return found if found is not None else spark.createDataFrame([], "doc_id long, item_id long, score long, item_words long, doc_word long")
 

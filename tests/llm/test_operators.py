@@ -311,6 +311,32 @@ def test_alignment_equals_a_plain_version():
         assert decontaminate.align(np.array(a), np.array(b))[0] == best
 
 
+def test_decontamination_equals_alignment_of_all_pairs(spark):
+    r = random.Random(12)
+    items = [prose(n, 900 + k) for k, n in enumerate((1, 2, 5, 8, 9, 12, 20, 20, 26, 38, 38, 60))]
+    docs = []
+    for item in items:
+        ws = item.split()
+        texts = [[x if k % every else "changed" for k, x in enumerate(ws, 1)] for every in (3, 4, 5, 6, 7)]
+        texts.append([y for k, x in enumerate(ws, 1) for y in ([x] if k % 2 else [x, "added"])])
+        for rate in (0.05, 0.1, 0.15, 0.2, 0.25, 0.3):
+            for _ in range(4):
+                texts.append([y for x in ws for y in ([x] if r.random() > rate else r.choice([["edited"], [], [x, "more"]]))])
+        docs += [prose(r.randint(0, 30)).split() + t + prose(r.randint(0, 30)).split() for t in texts]
+    docs += [items[9].split()] * 30 + [" ".join(items).split(), (items[9].split()[:2] * 40)]
+    words = {x: k for k, x in enumerate({x for t in [*docs, *(i.split() for i in items)] for x in t})}
+    code = lambda ws: np.array([words[x] for x in ws])
+    want = {}
+    for d, t in enumerate(docs):
+        for i, item in enumerate(items):
+            score = decontaminate.align(code(item.split()), code(t))[0]
+            if score >= decontaminate.needed(len(item.split())):
+                want[d, i] = score
+    df = spark.createDataFrame(list(enumerate(map(" ".join, docs))), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]): x["score"] for x in decontaminate.contaminated(df, bench).collect()} == want
+
+
 # lines
 
 def test_within_edits_equals_levenshtein(spark):
