@@ -2,9 +2,10 @@
 
 Every document becomes its set of w-word shingles.  Equal sets form one class.  In each of several
 independent trees a class walks down from the root: a node picks one of the minwise coordinates (now and then
-two) by its own path, and its members part by the value there.  A node with few members is a leaf; leaves are
+two, so that a pair at the threshold is kept) by its own path, and its members part by the value there.  A node with few members is a leaf; leaves are
 compared exhaustively, larger nodes branch on.  Members of a node that is still large at the last level agree
-on all chosen coordinates.  Comparison goes in two rounds, so that no group emits all its pairs:
+on all chosen coordinates.  There are as many trees as a pair at the threshold needs to meet, whatever the nodes'
+sizes are, but for a chance of MISS.  Comparison goes in two rounds, so that no group emits all its pairs:
 
 1. every member of a node, at each level, against one of them; verified links give components.  The deeper the
    node, the nearer its members, so this meets a text with ever nearer ones;
@@ -18,6 +19,7 @@ the first round is held against the sketches (far below the threshold only); all
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,9 @@ from .components import components
 from .scratch import Scratch
 from .words import blocks
 
-COORDINATES, TREES, LEVELS, LEAF, BLOCK = 48, 8, 14, 48, 128
+COORDINATES, LEVELS, LEAF, BLOCK = 64, 10, 48, 128
+#: Greatest chance that a pair at the threshold meets in no leaf or last node, and what a node keeps of such a pair on average.
+MISS, GROWTH = 0.0015, 1.0625
 #: Two sets at the threshold agree on fewer coordinates than this share of it with a chance below 1e-6.
 SKETCH_SHARE = 0.6
 #: Ids are sent to all executors only if there are at most so many.
@@ -37,6 +41,31 @@ _rng = np.random.Generator(np.random.PCG64(7))
 _COEF = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def second_share(threshold: float) -> float:
+    """Share of the nodes that pick a second coordinate."""
+    return min(max(GROWTH / threshold - 1, 0), 1)
+
+
+def missed(threshold: float, trees: int, levels: int = LEVELS) -> float:
+    """Chance that a pair at the threshold meets in no tree at the last level, over all sketches that it may have."""
+    two, total = second_share(threshold), 0.0
+    for k in range(COORDINATES + 1):
+        agree, lost = k / COORDINATES, 0.0
+        for _ in range(levels):
+            one = 1 - agree + agree * lost
+            lost = (1 - two) * one + two * one * one
+        total += comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) * lost**trees
+    return total
+
+
+def trees_for(threshold: float) -> int:
+    """Least number of trees in which a pair at the threshold meets but for a chance of MISS."""
+    trees = 1
+    while missed(threshold, trees) > MISS:
+        trees += 1
+    return trees
+
+
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text, in order; A-Z are lower-cased."""
     for _, _, w in blocks(texts, lower=True):
@@ -184,21 +213,22 @@ def _block_rows(num: int, den: int):
     return rows
 
 
-def _chosen(path, sig):
-    """Coordinates that a node selects: one always, a second at every fourth node; with the value there."""
+def _chosen(path, sig, two):
+    """Coordinates that a node selects: one always, a second at a share of two of the nodes; with the value there."""
     at = lambda x: F.expr(f"substring(sig, cast(pmod({x}, {COORDINATES}) as int) * 4 + 1, 4)")
-    one = F.struct(F.lit(0).alias("k"), at(f"xxhash64({path}, 1)").alias("v"))
-    two = F.struct(F.lit(1).alias("k"), at(f"xxhash64({path}, 2)").alias("v"))
-    return F.when(F.expr(f"pmod(xxhash64({path}, 3), 4) = 0"), F.array(one, two)).otherwise(F.array(one))
+    first = F.struct(F.lit(0).alias("k"), at(f"xxhash64({path}, 1)").alias("v"))
+    second = F.struct(F.lit(1).alias("k"), at(f"xxhash64({path}, 2)").alias("v"))
+    return F.when(F.expr(f"pmod(xxhash64({path}, 3), 1000) < {round(1000 * two)}"), F.array(first, second)).otherwise(F.array(first))
 
 
-def chosen_paths(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def chosen_paths(classes: DataFrame, scratch: Scratch, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(path, cid, n) of the leaves and of the nodes that are large at the last level, n being their size; and
     stars (a, b): members of every node against one of them, for larger nodes at each level another."""
-    rows = classes.select("cid", F.explode(F.sequence(F.lit(1), F.lit(TREES))).alias("tree"), "sig").select("cid", "sig", F.expr("xxhash64(tree, 77)").alias("path"))
+    two = second_share(threshold)
+    rows = classes.select("cid", F.explode(F.sequence(F.lit(1), F.lit(trees_for(threshold)))).alias("tree"), "sig").select("cid", "sig", F.expr("xxhash64(tree, 77)").alias("path"))
     found, stars = None, None
     for level in range(1, LEVELS + 1):
-        rows = rows.select("cid", "path", F.explode(_chosen("path", "sig")).alias("c")).select("cid", F.expr(f"xxhash64(path, c.k, c.v, {level})").alias("path"))
+        rows = rows.select("cid", "path", F.explode(_chosen("path", "sig", two)).alias("c")).select("cid", F.expr(f"xxhash64(path, c.k, c.v, {level})").alias("path"))
         # small nodes take their least member, so that trees agree; large ones any by chance
         one = F.when(F.count("*") > LEAF, F.min_by("cid", F.xxhash64("path", "cid"))).otherwise(F.min("cid"))
         sizes = rows.groupBy("path").agg(F.count("*").alias("n"), one.alias("pivot")).where("n > 1")
@@ -248,12 +278,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     classes = scratch.keep(
         seen.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("least_id"), F.min("tkey").alias("tkey"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")), "classes"
     )
-    nodes, star = chosen_paths(classes, scratch)
+    nodes, star = chosen_paths(classes, scratch, num / den)
     args = (classes, texts.select("tkey", "text"), width, num, den, scratch)
     first = scratch.keep(_verified(star, *args, "first"), "first")
+    for name in ("ids", "near", "sets"):
+        scratch.drop(f"first-{name}")
     roots = scratch.keep(components(first, scratch, "cc1"), "roots1")
     held = nodes.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("path", "cid", "n", F.coalesce("root", "cid").alias("root"))
     held = scratch.keep(held, "held")
+    for level in range(1, LEVELS + 1):
+        scratch.drop(f"level-{level}")
     mixed = held.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("path")
     held = held.join(mixed, "path")
     per = held.groupBy("path", "root").agg(F.count("*").alias("k"))

@@ -105,6 +105,22 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert left.columns == odd.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 0, 1, 2, 3, 4, 5, 7, 8]
 
 
+def test_pairs_at_the_threshold_meet_in_large_nodes(spark):
+    """A group whose pairs all have a similarity of 0.85 or so, far larger than a leaf at every level."""
+    n, r = 1200, np.random.default_rng(5)
+    sig = np.tile(r.integers(0, 2**32, near_dups.COORDINATES, dtype=np.uint32), (n, 1))
+    own = r.random(sig.shape) > 0.85**0.5
+    sig[own] = r.integers(0, 2**32, own.sum(), dtype=np.uint32)
+    classes = spark.createDataFrame([(int(k).to_bytes(2, "big"), bytearray(x.tobytes())) for k, x in enumerate(sig)], "cid binary, sig binary")
+    nodes, _ = near_dups.chosen_paths(classes, Scratch(spark, "test-paths"), 0.85)
+    by, met = defaultdict(list), np.eye(n, dtype=bool)
+    for x in nodes.select("path", "cid").collect():
+        by[x["path"]].append(int.from_bytes(x["cid"], "big"))
+    for at in by.values():
+        met[np.ix_(at, at)] = True
+    assert (~met).sum() <= 0.003 * n * (n - 1)
+
+
 # tokens
 
 def test_encoder_equals_the_library():
