@@ -4,7 +4,10 @@ The tree holds, for every host, the paths of its URLs segment by segment.  Segme
 by their look (digits, long hexadecimal or mixed ids, with any ending), and below one node all words together
 where they are too many for the URLs they cover.  Sibling branches with the same shapes below and a similar
 share of blocked URLs merge.  A template is rejected if the smoothed share of blocked among its labelled URLs
-is high; labels are what the rules say, or a table of page ids with verdicts.  Only DataFrame functions run.
+is high; labels are what the rules say, or a table of page ids with verdicts.  What a template is held to be before
+its own labels count comes from its sibling branches, those that differ from it in one segment at any level, each
+labelled branch counting once: so a branch without labels is rejected where enough branches like it are.  Only
+DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Levels of the tree; what lies deeper is one wildcard. A node's words become one wildcard if there are more than MANY and fewer than FEW URLs to each.
 DEPTH, MANY, FEW = 5, 20, 3.0
-#: A template is rejected if (blocked + PRIOR * SMOOTH) / (labelled + SMOOTH) reaches REJECT; branches merge if their blocked shares differ by CLOSE at most.
+#: A template is rejected if (blocked + prior * SMOOTH) / (labelled + SMOOTH) reaches REJECT, prior being the same of its siblings and PRIOR; branches merge if their blocked shares differ by CLOSE at most.
 PRIOR, SMOOTH, REJECT, CLOSE = 0.2, 4.0, 0.7, 0.1
 
 
@@ -62,8 +65,21 @@ def shape_of(path: Column) -> Column:
     return F.transform(deep, one)
 
 
+def priors(known: DataFrame) -> DataFrame:
+    """(host, template, prior) of the templates (host, template, b, l): the smoothed mean of the blocked shares of the labelled
+    siblings, at the level with most of them (the deepest of several)."""
+    share = F.when(F.col("l") > 0, F.col("b") / F.col("l"))
+    each = known.select("host", "template", share.alias("share"), F.explode(F.sequence(F.lit(1), F.greatest(F.size("template"), F.lit(1)))).alias("level"))
+    each = each.withColumn("like", F.transform("template", lambda x, k: F.when(k == F.col("level") - 1, F.lit("")).otherwise(x)))
+    pool = each.groupBy("host", "level", "like").agg(F.sum("share").alias("votes"), F.count("share").alias("voters")).where("voters > 0")
+    own = F.when(F.col("share").isNull(), 0).otherwise(1)
+    found = each.join(pool, ["host", "level", "like"], "left").withColumns({"voters": F.coalesce("voters", F.lit(0)) - own, "votes": F.coalesce("votes", F.lit(0.0)) - F.coalesce("share", F.lit(0.0))})
+    prior = (F.col("votes") + PRIOR * SMOOTH) / (F.col("voters") + SMOOTH)
+    return found.groupBy("host", "template").agg(F.max_by(prior, F.struct("voters", "level")).alias("prior"))
+
+
 def templates(shapes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, shape, template, blocked, labelled): the leaves of every host's tree, with the template each belongs to.
+    """(host, shape, template, blocked, labelled, prior): the leaves of every host's tree, with the template each belongs to.
 
     shapes: host, shape, n (URLs), blocked, labelled (of those with a verdict), one row for each host and shape.
     """
@@ -84,12 +100,13 @@ def templates(shapes: DataFrame, scratch: Scratch) -> DataFrame:
     # similar branches: siblings at the first level with the same templates below and close blocked shares
     below = F.slice("template", 2, DEPTH + 1)
     known = rows.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
+    rows = rows.join(priors(known), ["host", "template"])
     share = F.round((F.col("b") + PRIOR * SMOOTH) / (F.col("l") + SMOOTH) / CLOSE).cast("int")
     near = known.where((F.size("template") > 1) & (F.col("l") > 0)).select("host", "template", below.alias("below"), share.alias("band"))
     groups = near.groupBy("host", "below", "band").agg(F.count("*").alias("k")).where("k > 1")
     merged = near.join(groups, ["host", "below", "band"]).select("host", "template", F.concat(F.array(F.concat(F.lit("{m"), F.col("band").cast("string"), F.lit("}"))), "below").alias("into"))
     rows = rows.join(merged, ["host", "template"], "left").withColumn("template", F.coalesce("into", "template")).drop("into")
-    sums = rows.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
+    sums = rows.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"), F.min("prior").alias("prior"))
     return rows.select("host", "shape", "template").join(sums, ["host", "template"])
 
 
@@ -109,7 +126,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, labels: DataFrame | None = None,
         once = labels.groupBy("page_id").agg(F.max("blocked").alias("blocked"))
         seen = seen.join(once, "page_id", "left")
     shapes = seen.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked"), F.count("blocked").alias("labelled"))
-    purity = (F.col("blocked") + PRIOR * SMOOTH) / (F.col("labelled") + SMOOTH)
+    purity = (F.col("blocked") + F.col("prior") * SMOOTH) / (F.col("labelled") + SMOOTH)
     found = templates(shapes, scratch or Scratch(pages.sparkSession, "url-filter")).select("host", "shape", F.array_join("template", "/").alias("template"), F.when(purity >= REJECT, "block").otherwise("allow").alias("method"))
     out = seen.drop("blocked").join(found, ["host", "shape"])
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", "method").alias("verdict"), "template")

@@ -445,3 +445,14 @@ def test_templates_reject_by_purity(spark):
     got = {r["page_id"]: (r["verdict"], r["template"]) for r in url_filter.url_verdicts(pages, (), labels).collect()}
     assert {got[k][0] for k in range(40)} == {"block"} and {got[100 + k][0] for k in range(40)} == {"allow"}
     assert {got[200 + k][1] for k in range(60)} == {"tag/{w}/list"}
+
+
+def test_templates_reject_pages_outside_the_rules(spark):
+    words = [w * 3 for w in "abcdefghijkl"]
+    rules = [("block", f"h.com/offers/{w}/") for w in words[:10]] + [("allow", f"h.com/news/{w}/") for w in words[:10]] + [("block", "h.com/forum/aaa/")]
+    urls = {f"http://h.com/{top}/{w}/{k}": "block" if top == "offers" or (top, w) == ("forum", "aaa") else "allow" for top in ("offers", "news", "forum") for w in words for k in range(12)}
+    urls |= {f"http://h.com/{top}/lll/{k}/reply": "allow" for top in ("offers", "news") for k in range(12)}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_verdicts(pages, rules).collect()}
+    assert {k: v for k, (_, v) in got.items()} == dict(enumerate(urls.values()))
+    assert sum(rule is None and v == "block" for rule, v in got.values()) == 24
