@@ -1,12 +1,13 @@
 """Line dedup: a segment-partition edit join, in DataFrame functions only.
 
 A line of at least NEAR_CHARS code points is cut into EDITS + 1 segments; two lines within EDITS edits share one
-of them, shifted by few places.  So each line puts its segments into an index by (segment number, length,
+of them, shifted by few places.  From SHORT_CHARS on a line may be one edit off (SHORT_EDITS) and is cut into two;
+the shorter of two lines decides.  So each line puts its segments into an index by (segment number, length,
 segment), and probes it for its own length and the EDITS shorter ones with the substrings that the multi-match
 bounds leave.  Candidates whose letter counts allow it are verified by a
 banded bit-parallel edit distance.  Equal lines are one entry of
 the index.  Lines linked, directly or through others, form a class; all but its first occurrence, by document
-and line, are dropped.  Lines under LEAST_CHARS are let be; between the two limits only equal lines are dropped.
+and line, are dropped.  Of lines under SHORT_CHARS all equal ones are dropped but the first; blank lines are let be.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import Scratch
 
-LEAST_CHARS, NEAR_CHARS, EDITS = 20, 40, 2
+LEAST_CHARS, SHORT_CHARS, NEAR_CHARS, SHORT_EDITS, EDITS = 1, 20, 40, 1, 2
 #: A segment that more lines share is joined in two rounds, against its least line first.
 HOT = 64
 #: Digests are sent to all executors only if there are at most so many.
@@ -92,19 +93,20 @@ def near_bags(a: str, b: str, edits: int) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """Occurrences of the lines that count: document (d, rid), number, digest, line, n."""
     each = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    each = each.withColumn("n", F.length("line")).where(F.col("n") >= LEAST_CHARS)
+    each = each.withColumn("n", F.length("line")).where((F.col("n") >= LEAST_CHARS) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     return each.select("d", "rid", "no", F.expr("unhex(md5(line))").alias("digest"), "line", "n")
 
 
 def _linked(pairs: DataFrame, lines: DataFrame, edits: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of digests whose lines are at most edits apart."""
+    """The pairs (a, b) of digests whose lines are at most edits apart, SHORT_EDITS where one is under NEAR_CHARS."""
     pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
     ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), f"{name}-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = scratch.keep(lines.select("digest", "line").join(F.broadcast(ids) if few else ids, "digest"), f"{name}-texts")
     texts = texts.withColumn("bag", bag("line"))
     both = pairs.join(texts.toDF("a", "la", "ba"), "a").join(texts.toDF("b", "lb", "bb"), "b").where(near_bags("ba", "bb", edits))
-    return both.where(within_edits("la", "lb", edits)).select("a", "b")
+    long = F.least(F.length("la"), F.length("lb")) >= NEAR_CHARS
+    return both.where(F.when(long, within_edits("la", "lb", edits)).otherwise(within_edits("la", "lb", min(SHORT_EDITS, edits)))).select("a", "b")
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, scratch: Scratch | None = None) -> DataFrame:
@@ -112,8 +114,11 @@ def line_classes(docs: DataFrame, edits: int = EDITS, scratch: Scratch | None =
     scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
     place = F.struct("d", "rid", "no")
     lines = scratch.keep(_lines(docs).groupBy("digest").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.first("line").alias("line"), F.first("n").alias("n")), "lines")
-    near = lines.where(F.col("n") >= NEAR_CHARS)
-    keys = near.select("digest", segments(edits).alias("own"), probes(edits).alias("seek"))
+    near, short = lines.where(F.col("n") >= SHORT_CHARS), min(SHORT_EDITS, edits)
+    own = F.when(F.col("n") >= NEAR_CHARS, segments(edits)).otherwise(segments(short))
+    # a line that is hardly long also seeks the short ones
+    seek = F.when(F.col("n") >= NEAR_CHARS + short, probes(edits)).when(F.col("n") >= NEAR_CHARS, F.concat(probes(edits), probes(short))).otherwise(probes(short))
+    keys = near.select("digest", own.alias("own"), seek.alias("seek"))
     index = keys.select("digest", F.explode("own").alias("key"))
     seek = keys.select("digest", F.explode("seek").alias("s")).select("digest", "s.key", "s.equal")
     hot = scratch.keep(index.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("key"), "hot")

@@ -419,6 +419,43 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == want
 
 
+def test_line_dedup_of_short_lines_equals_brute_force(spark):
+    r, docs = random.Random(8), []
+    bases = [(prose(20, 300 + n)[: n - 1] + ".") for n in (1, 2, 5, 12, 19, 20, 21, 22, 30, 38, 39, 40, 41, 42) for _ in range(2)] + ["Licensed under CC BY-NC 4.0.", "}"]
+    for i in range(90):
+        lines = ["", "  "]
+        for _ in range(4):
+            t = list(r.choice(bases))
+            for _ in range(r.randint(0, 2)):
+                k = r.randrange(len(t) + 1)
+                t[k : k + r.randint(0, 1)] = r.choice(["", "q", "z"])
+            lines.append("".join(t))
+        docs.append((i, "\n".join(lines)))
+    docs += [(90 + i, "same head of the" + f" {i:03d} line") for i in range(80)]  # versions of one line share a segment
+    first = {}
+    for i, t in docs:
+        for k, x in enumerate(t.split("\n")):
+            if x.strip():
+                first.setdefault(x, (i, k))
+    up = {x: x for x in first}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x in up:
+        for y in up:
+            least = min(len(x), len(y))
+            if x < y and least >= 20 and find(x) != find(y) and near(x, y, 1 if least < 40 else 2):
+                up[find(x)] = find(y)
+    for x, at in list(first.items()):
+        first[find(x)] = min(first[find(x)], at)
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if not x.strip() or first[find(x)] == (i, k)) for i, t in docs}
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_line_dedup_odd_rows(spark, odd):
     got = line_dedup.dedup_lines(odd)
     assert got.count() == odd.count() and set(got.columns) == {*odd.columns, "n_dropped"}
