@@ -20,8 +20,8 @@ from .scratch import Scratch
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, rule)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Levels of the tree; what lies deeper is one wildcard. A node's words become one wildcard if there are more than MANY and fewer than FEW URLs to each.
-DEPTH, MANY, FEW = 5, 20, 3.0
+#: Levels between two tables that are written, so that plans stay small. A node's words become one wildcard if there are more than MANY and fewer than FEW URLs to each.
+STEP, MANY, FEW = 8, 20, 3.0
 #: A template is rejected if (blocked + prior * SMOOTH) / (labelled + SMOOTH) reaches REJECT, prior being the same of its siblings and PRIOR; branches merge if their blocked shares differ by CLOSE at most.
 PRIOR, SMOOTH, REJECT, CLOSE = 0.2, 4.0, 0.7, 0.1
 
@@ -51,7 +51,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def shape_of(path: Column) -> Column:
-    """Segments of a path with those that vary by their look as wildcards; at most DEPTH, the rest as one."""
+    """Segments of a path with those that vary by their look as wildcards."""
     one = lambda s: (
         F.when(s == "", F.lit("/"))
         .when(s.rlike(r"^[0-9]+(\.[A-Za-z0-9]{1,5})?$"), F.lit("{n}"))
@@ -61,8 +61,7 @@ def shape_of(path: Column) -> Column:
         .otherwise(s)
     )
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    deep = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("{more}")))).otherwise(parts)
-    return F.transform(deep, one)
+    return F.transform(parts, one)
 
 
 def priors(known: DataFrame) -> DataFrame:
@@ -84,7 +83,8 @@ def templates(shapes: DataFrame, scratch: Scratch) -> DataFrame:
     shapes: host, shape, n (URLs), blocked, labelled (of those with a verdict), one row for each host and shape.
     """
     rows = scratch.keep(shapes.withColumn("template", F.array().cast("array<string>")), "shapes")
-    for level in range(1, DEPTH + 2):
+    depth = rows.agg(F.max(F.size("shape"))).head()[0] or 0
+    for level in range(1, depth + 1):
         seg = F.get("shape", F.lit(level - 1))
         nodes = rows.where(seg.isNotNull() & ~seg.startswith("{")).groupBy("host", "template", seg.alias("seg")).agg(F.sum("n").alias("n"))
         wide = nodes.groupBy("host", "template").agg(F.count("*").alias("words"), F.sum("n").alias("urls"))
@@ -96,9 +96,9 @@ def templates(shapes: DataFrame, scratch: Scratch) -> DataFrame:
         if some:
             one = F.transform(one, lambda x: F.when(F.col("wide") & ~x.startswith("{"), F.lit("{w}")).otherwise(x))
         rows = rows.withColumn("template", F.concat("template", one))
-        rows = scratch.keep(rows.drop("wide"), f"level-{level}") if some else rows
+        rows = scratch.keep(rows.drop("wide"), f"level-{level}") if some or level % STEP == 0 else rows
     # similar branches: siblings at the first level with the same templates below and close blocked shares
-    below = F.slice("template", 2, DEPTH + 1)
+    below = F.expr("slice(template, 2, greatest(size(template), 1))")
     known = rows.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
     rows = rows.join(priors(known), ["host", "template"])
     share = F.round((F.col("b") + PRIOR * SMOOTH) / (F.col("l") + SMOOTH) / CLOSE).cast("int")

@@ -493,3 +493,12 @@ def test_templates_reject_pages_outside_the_rules(spark):
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_verdicts(pages, rules).collect()}
     assert {k: v for k, (_, v) in got.items()} == dict(enumerate(urls.values()))
     assert sum(rule is None and v == "block" for rule, v in got.values()) == 24
+
+
+def test_templates_tell_deep_branches_apart(spark):
+    deep = "/".join("abcdefghij"[:9])
+    rows = [(k, f"http://h.com/{deep}/{'bad' if k < 30 else 'good'}/{k}", k < 30) for k in range(60)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(k, b) for k, _, b in rows if k % 30 < 20], "page_id long, blocked boolean")
+    got = {r["page_id"]: (r["verdict"], r["template"]) for r in url_filter.url_verdicts(pages, (), labels).collect()}
+    assert got == {k: ("block", f"{deep}/bad/{{n}}") if b else ("allow", f"{deep}/good/{{n}}") for k, _, b in rows}
