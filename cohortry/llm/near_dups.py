@@ -5,15 +5,19 @@ independent trees a class walks down from the root: a node picks one of the minw
 two, so that a pair at the threshold is kept) by its own path, and its members part by the value there.  A node with few members is a leaf; leaves are
 compared exhaustively, larger nodes branch on.  Members of a node that is still large at the last level agree
 on all chosen coordinates.  There are as many trees as a pair at the threshold needs to meet, whatever the nodes'
-sizes are, but for a chance of MISS.  Comparison goes in two rounds, so that no group emits all its pairs:
+sizes are, but for a chance of MISS.
 
-1. every member of a node, at each level, against one of them; verified links give components.  The deeper the
-   node, the nearer its members, so this meets a text with ever nearer ones;
-2. in each leaf or last node, the members outside its main component with all others, block by block: a block
-   pair gives the sizes of all its intersections at once, and only verified links come out.
+Nodes compare sketches, one byte for each of SKETCH minwise coordinates: a pair at the threshold agrees on fewer
+than least_agree() of them with a chance below UNLIKE.  Full sets move only for pairs whose sketches agree, and every
+link is verified on them, in rounds, so that no group emits all its pairs:
 
-A pair inside one component can't change a component, so leaving it out loses nothing.  Every candidate of
-the first round is held against the sketches (far below the threshold only); all links are verified on full sets.
+1. of the pairs in leaves, and of some members of the larger nodes against one of them, each class takes a few;
+   verified links give components;
+2. all other pairs in leaves whose ends are still in different components; and the members of large last nodes outside
+   their main component against all others, block by block, where only verified links come out.
+
+Large last nodes of different trees that overlap so much that all pairs of their members are fewer than the pairs of
+the nodes are compared as one group.  A pair inside one component can't change a component, so leaving it out loses nothing.
 """
 
 from __future__ import annotations
@@ -30,15 +34,23 @@ from .components import components
 from .scratch import Scratch
 from .words import blocks
 
-COORDINATES, LEVELS, LEAF, BLOCK = 64, 10, 48, 128
+COORDINATES, LEVELS, LEAF = 64, 10, 48
+#: Members and shingles of a block of a large node, or so.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 17
+#: Coordinates of a sketch, those of the paths among them.
+SKETCH = 256
 #: Greatest chance that a pair at the threshold meets in no leaf or last node, and what a node keeps of such a pair on average.
 MISS, GROWTH = 0.0015, 1.0625
-#: Two sets at the threshold agree on fewer coordinates than this share of it with a chance below 1e-6.
-SKETCH_SHARE = 0.6
+#: Chance that the sketches of a pair at the threshold agree too little to be looked at.
+UNLIKE = 1e-6
+#: A member of a large node is held against the one that leads its part of so many members or fewer.
+PART = 1024
+#: Deepest leaders that a class is held against in the first round.
+LEADERS = 3
 #: Ids are sent to all executors only if there are at most so many.
 BROADCAST_IDS = 200_000
 _rng = np.random.Generator(np.random.PCG64(7))
-_COEF = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_COEF = _rng.integers(1, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def second_share(threshold: float) -> float:
@@ -78,27 +90,39 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
                 yield np.array([w.whole(d)], np.uint64) if w.count[d] else np.zeros(0, np.uint64)
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Minwise values, one row for each set; sets are not empty."""
-    out = np.zeros((len(sets), COORDINATES), np.uint32)
+def least_agree(threshold: float) -> int:
+    """Least agreement of two sketches that a pair at the threshold stays under with a chance of UNLIKE at most."""
+    p, total, k = threshold + (1 - threshold) / 256, 0.0, 0
+    while (total := total + comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)) <= UNLIKE:
+        k += 1
+    return k
+
+
+def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Minwise values of the path coordinates, and a byte of each of all, one row for each set; sets are not empty."""
+    sig, low = np.zeros((len(sets), COORDINATES), np.uint32), np.zeros((len(sets), SKETCH), np.uint8)
     lo = 0
     while lo < len(sets):
         hi, total = lo, 0
         while hi < len(sets) and (hi == lo or total + len(sets[hi]) <= 100_000):
             total += len(sets[hi])
             hi += 1
-        flat = np.concatenate(sets[lo:hi])
+        flat = np.concatenate(sets[lo:hi]).astype(np.uint32)
         starts = np.cumsum([0, *map(len, sets[lo : hi - 1])])
-        for t in range(COORDINATES):
-            out[lo:hi, t] = np.minimum.reduceat(flat * _COEF[t], starts) >> np.uint64(32)
+        product = np.empty_like(flat)
+        for t in range(SKETCH):
+            least = np.minimum.reduceat(np.multiply(flat, _COEF[t], out=product), starts)
+            low[lo:hi, t] = least & np.uint32(255)
+            if t < COORDINATES:
+                sig[lo:hi, t] = least
         lo = hi
-    return out
+    return sig, low
 
 
 def _sketch_rows(width: int):
     import hashlib
 
-    schema = pa.schema([("doc_id", pa.int64()), ("tkey", pa.binary()), ("n_shingles", pa.int64()), ("cid", pa.binary()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("tkey", pa.binary()), ("n_shingles", pa.int64()), ("cid", pa.binary()), ("sig", pa.binary()), ("sketch", pa.binary())])
 
     def rows(batches):
         for b in batches:
@@ -106,14 +130,14 @@ def _sketch_rows(width: int):
                 part = b.slice(lo, 512)
                 sets = list(shingle_sets(part["text"], width))
                 full = [s for s in sets if len(s)]
-                sig = iter(sketches(full)) if full else iter(())
+                two = [iter(x) for x in sketches(full)] if full else [iter(())] * 2
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["doc_id"].cast(pa.int64()),
                         part["tkey"].cast(pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        *(pa.array([next(x).tobytes() if len(s) else None for s in sets], pa.binary()) for x in two),
                     ],
                     schema=schema,
                 )
@@ -133,82 +157,88 @@ def _set_rows(width: int):
     return rows
 
 
+_NEAR = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("agree", pa.int32())])
+
+
 def _agree_rows(least: int):
     """Keeps candidate pairs whose sketches agree on at least so many coordinates."""
 
     def rows(batches):
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in ("sa", "sb"))
-                yield b.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+                x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sa", "sb"))
+                agree = (x == y).sum(1)
+                yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(agree, pa.int32())], schema=_NEAR).filter(pa.array(agree >= least))
 
     return rows
 
 
-def _verify_rows(num: int, den: int):
-    """Keeps pairs with den * intersection >= num * union."""
+def _leaf_rows(num: int, den: int, least: int):
+    """Pairs of a leaf's members whose sizes and sketches allow a link."""
 
     def rows(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b["xa"], b["xb"]):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                inter = int((large[at] == small).sum())
-                keep.append(den * inter >= num * (len(x) + len(y) - inter))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            found = {}
+            for x in batch["x"]:
+                x = x.as_py()
+                sketch, size = np.frombuffer(b"".join(m["sketch"] for m in x), np.uint8).reshape(-1, SKETCH), np.array([m["n_shingles"] for m in x])
+                for i in range(len(x) - 1):
+                    agree = (sketch[i + 1 :] == sketch[i]).sum(1)
+                    fit = (agree >= least) & (den * np.minimum(size[i + 1 :], size[i]) >= num * np.maximum(size[i + 1 :], size[i]))
+                    for j in np.flatnonzero(fit):
+                        found[tuple(sorted((x[i]["cid"], x[i + 1 + j]["cid"])))] = agree[j]
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(found.values(), pa.int32())], schema=_NEAR)
 
     return rows
 
 
-def shared(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of all sets of x with all of y, through their incidence matrices, some columns at a time."""
-    out = np.zeros((len(x), len(y)), np.float32)
-    both = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
-    if not len(both):
-        return out
-
-    def places(sets):
-        found = []
-        for k, s in enumerate(sets):
-            at = np.searchsorted(both, s)
-            at[at == len(both)] = 0
-            at = at[both[at] == s]
-            found.append((np.full(len(at), k), at))
-        row, col = (np.concatenate(c) for c in zip(*found))
-        order = np.argsort(col, kind="stable")
-        return row[order], col[order]
-
-    (xr, xc), (yr, yc) = places(x), places(y)
-    for lo in range(0, len(both), columns):
-        parts = []
-        for n, row, col in ((len(x), xr, xc), (len(y), yr, yc)):
-            m = np.zeros((n, columns), np.float32)
-            s, e = np.searchsorted(col, [lo, lo + columns])
-            m[row[s:e], col[s:e] - lo] = 1
-            parts.append(m)
-        out += parts[0] @ parts[1].T
-    return out
-
-
-def _block_rows(num: int, den: int):
-    """Verified links between two blocks whose ends are not in one component."""
+def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    inter = int((large[at] == small).sum())
+    return den * inter >= num * (len(x) + len(y) - inter)
+
+
+def _block_rows(num: int, den: int, least: int):
+    """Verified links between members of x outside the main component and members of y; found ones join components here too."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def rows(batches):
         for batch in batches:
-            found = set()
+            found = []
             for x, y in zip(batch["x"], batch["y"]):
                 x, y = x.as_py(), y.as_py()
-                sx, sy = ([np.frombuffer(m["shingles"], np.uint64) for m in side] for side in (x, y))
-                inter = shared(sx, sy)
-                total = np.array([len(s) for s in sx])[:, None] + np.array([len(s) for s in sy])[None] - inter
-                roots = np.array([m["root"].hex() for m in x])[:, None] != np.array([m["root"].hex() for m in y])[None]
-                for i, j in zip(*np.nonzero(roots & (den * inter >= num * total))):
-                    found.add(tuple(sorted((x[i]["cid"], y[j]["cid"]))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*sorted(found)) if found else ([], []))], schema=schema)
+                names = {r: k for k, r in enumerate({m["root"] for m in (*x, *y)})}
+                root = np.array([names[m["root"]] for m in y])
+                mine = np.array([names[m["root"]] for m in x])
+                size, sketch = np.array([m["n_shingles"] for m in y]), np.frombuffer(b"".join(m["sketch"] for m in y), np.uint8).reshape(-1, SKETCH)
+                odd, sets = np.array([m["odd"] for m in y]), [np.frombuffer(m["shingles"], np.uint64) for m in y]
+                cids = np.array([m["cid"].hex() for m in y])
+                for i, m in enumerate(x):
+                    own, n = np.frombuffer(m["shingles"], np.uint64), m["n_shingles"]
+                    fit = (root != mine[i]) & (den * np.minimum(size, n) >= num * np.maximum(size, n)) & (~odd | (cids > m["cid"].hex()))
+                    at = np.flatnonzero(fit)
+                    at = at[(sketch[at] == np.frombuffer(m["sketch"], np.uint8)).sum(1) >= least]
+                    for j in at.tolist():
+                        if root[j] != mine[i] and linked(own, sets[j], num, den):
+                            found.append(tuple(sorted((m["cid"], y[j]["cid"]))))
+                            was, now = root[j], mine[i]
+                            root[root == was], mine[mine == was] = now, now
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*found) if found else ((), ()))], schema=schema)
+
+    return rows
+
+
+def _verify_rows(num: int, den: int):
+    """Keeps pairs with den * intersection >= num * union."""
+
+    def rows(batches):
+        for b in batches:
+            keep = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), num, den) for x, y in zip(b["xa"], b["xb"])]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows
 
@@ -223,44 +253,83 @@ def _chosen(path, sig, two):
 
 def chosen_paths(classes: DataFrame, scratch: Scratch, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(path, cid, n) of the leaves and of the nodes that are large at the last level, n being their size; and
-    stars (a, b): members of every node against one of them, for larger nodes at each level another."""
+    leaders (cid, leader, level): for members of the larger nodes at every level one of them, in parts."""
     two = second_share(threshold)
     rows = classes.select("cid", F.explode(F.sequence(F.lit(1), F.lit(trees_for(threshold)))).alias("tree"), "sig").select("cid", "sig", F.expr("xxhash64(tree, 77)").alias("path"))
-    found, stars = None, None
+    found, leaders = None, None
     for level in range(1, LEVELS + 1):
         rows = rows.select("cid", "path", F.explode(_chosen("path", "sig", two)).alias("c")).select("cid", F.expr(f"xxhash64(path, c.k, c.v, {level})").alias("path"))
-        # small nodes take their least member, so that trees agree; large ones any by chance
-        one = F.when(F.count("*") > LEAF, F.min_by("cid", F.xxhash64("path", "cid"))).otherwise(F.min("cid"))
-        sizes = rows.groupBy("path").agg(F.count("*").alias("n"), one.alias("pivot")).where("n > 1")
+        sizes = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         last = level == LEVELS
-        rows = scratch.keep(rows.join(sizes, "path").select("path", "cid", "n", "pivot"), f"level-{level}")
+        rows = scratch.keep(rows.join(sizes, "path").select("path", "cid", "n"), f"level-{level}")
         leaves = rows if last else rows.where(F.col("n") <= LEAF)
-        star = rows.where("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"))
-        found, stars = (leaves, star) if found is None else (found.union(leaves), stars.union(star))
         large = rows.where(F.col("n") > LEAF)
+        parts = large.select("path", F.expr(f"pmod(xxhash64(path, cid), ceil(n / {PART}))").alias("part"), "cid")
+        lead = parts.groupBy("path", "part").agg(F.min_by("cid", F.xxhash64("cid", "path")).alias("leader"))
+        under = parts.join(lead, ["path", "part"]).where("cid <> leader").select("cid", "leader", F.lit(level).alias("level"))
+        found, leaders = (leaves, under) if found is None else (found.union(leaves), leaders.union(under))
         if last or large.isEmpty():
             break
         rows = large.select("cid", "path").join(classes.select("cid", "sig"), "cid")
-    return found.select("path", "cid", "n"), stars.distinct()
+    return found, leaders
 
 
 def _sets(ids: DataFrame, classes: DataFrame, texts: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
     """(cid, shingles) of the classes named in ids (cid, no row twice)."""
     ids = scratch.keep(ids.join(classes.select("cid", "tkey"), "cid"), f"{name}-ids")
-    few = ids.count() <= BROADCAST_IDS
-    rep = texts.join(F.broadcast(ids) if few else ids, "tkey").groupBy("cid").agg(F.first("text").alias("text"))
-    return scratch.keep(rep.mapInArrow(_set_rows(width), "cid binary, shingles binary"), f"{name}-sets")
+    if ids.count() <= BROADCAST_IDS:
+        texts, ids = texts.join(F.broadcast(ids), "tkey").groupBy("cid").agg(F.first("text").alias("text")), None
+    else:  # copies of a text are one row before any of them meet
+        texts = texts.groupBy("tkey").agg(F.first("text").alias("text")).join(ids, "tkey")
+    return scratch.keep(texts.mapInArrow(_set_rows(width), "cid binary, shingles binary"), f"{name}-sets")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of class ids that reach the threshold on full sets."""
-    of = lambda c, s: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(s), F.col("tkey").alias(f"k{c}"))
-    sized = pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").where(F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)"))
-    least = int(COORDINATES * SKETCH_SHARE * num / den)
-    near = scratch.keep(sized.select("a", "b", "sa", "sb").mapInArrow(_agree_rows(least), "a binary, b binary"), f"{name}-near")
-    sets = _sets(near.select(F.col("a").alias("cid")).union(near.select("b")).distinct(), classes, texts, width, scratch, name)
-    both = near.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
-    return both.select("a", "b", "xa", "xb").mapInArrow(_verify_rows(num, den), "a binary, b binary")
+    """The pairs (a, b) of class ids, no pair twice, that reach the threshold on full sets, as a table of that name."""
+    pairs = scratch.keep(pairs.select("a", "b"), f"{name}-pairs")
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), classes, texts, width, scratch, name)
+    both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
+    links = scratch.keep(both.select("a", "b", "xa", "xb").mapInArrow(_verify_rows(num, den), "a binary, b binary"), name)
+    for part in ("pairs", "ids", "sets"):
+        scratch.drop(f"{name}-{part}")
+    return links
+
+
+def _few_each(near: DataFrame, lead: DataFrame) -> DataFrame:
+    """Pairs (a, b): for each class its nearest partner, its least one, and those that lead it."""
+    ends = near.select(F.col("a").alias("cid"), F.col("b").alias("other"), "agree").union(near.select("b", "a", "agree"))
+    few = ends.groupBy("cid").agg(F.max_by("other", F.struct("agree", "other")).alias("x"), F.min("other").alias("y"))
+    few = few.select("cid", F.explode(F.array("x", "y")).alias("other"))
+    few = few.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
+    return few.union(lead.select("a", "b")).distinct()
+
+
+def _groups(nodes: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, cid, root) of the large last nodes that hold several components: by node, or by all nodes that hang together."""
+    held = nodes.where(F.col("n") > LEAF).join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("path", "cid", F.coalesce("root", "cid").alias("root"))
+    mixed = held.groupBy("path").agg(F.count("*").alias("n"), F.min("cid").alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    held = scratch.keep(held.join(mixed.select("path", "n", "head"), "path"), "held")
+    whole = scratch.keep(components(held.select(F.col("cid").alias("a"), F.col("head").alias("b")), scratch, "cc-nodes"), "clusters").toDF("cid", "cluster")
+    held = held.join(whole, "cid")
+    nodes_cost = held.groupBy("cluster").agg(F.sum("n").alias("by_node"))  # each member meets all of its node
+    cost = whole.groupBy("cluster").agg(F.count("*").alias("m")).join(nodes_cost, "cluster")
+    held = held.join(cost.select("cluster", (F.col("m") * F.col("m") <= F.col("by_node")).alias("one")), "cluster")
+    return scratch.keep(held.select(F.expr("if(one, xxhash64(cluster), path)").alias("g"), "cid", "root").distinct(), "groups")
+
+
+def _large(groups: DataFrame, classes: DataFrame, texts: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Verified links of the groups' members that are outside the main component of a group."""
+    sets = _sets(groups.select("cid").distinct(), classes, texts, width, scratch, "large")
+    sized = groups.join(classes.select("cid", "n_shingles"), "cid")
+    per = sized.groupBy("g", "root").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("s"))
+    per = per.groupBy("g").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.expr(f"cast(greatest(ceil(sum(k) / {BLOCK}), ceil(sum(s) / {BLOCK_SHINGLES})) as int)").alias("parts"))
+    held = groups.join(per, "g").select("g", "cid", "root", "parts", (F.col("root") != F.col("main")).alias("odd"), F.expr("cast(pmod(xxhash64(cid), parts) as int)").alias("block"))
+    full = held.join(classes.select("cid", "n_shingles", "sketch"), "cid").join(sets, "cid")
+    member = F.struct("cid", "root", "odd", "n_shingles", "sketch", "shingles")
+    every = full.groupBy("g", "block").agg(F.collect_list(member).alias("y"))
+    odds = full.where("odd").groupBy("g", F.col("block").alias("own")).agg(F.collect_list(member).alias("x"), F.first("parts").alias("parts"))
+    odds = odds.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return odds.join(every, ["g", "block"]).select("x", "y").mapInArrow(_block_rows(num, den, least_agree(num / den)), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
@@ -274,40 +343,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     """
     scratch = scratch or Scratch(docs.sparkSession, "near-dups")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("unhex(md5(text))").alias("tkey"), "text")
-    seen = scratch.keep(texts.mapInArrow(_sketch_rows(width), "doc_id long, tkey binary, n_shingles long, cid binary, sig binary"), "sketches")
+    seen = scratch.keep(texts.mapInArrow(_sketch_rows(width), "doc_id long, tkey binary, n_shingles long, cid binary, sig binary, sketch binary"), "sketches")
     classes = scratch.keep(
-        seen.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("least_id"), F.min("tkey").alias("tkey"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")), "classes"
+        seen.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("least_id"), *(F.min(c).alias(c) for c in ("tkey", "n_shingles", "sig", "sketch"))), "classes"
     )
-    nodes, star = chosen_paths(classes, scratch, num / den)
-    args = (classes, texts.select("tkey", "text"), width, num, den, scratch)
-    first = scratch.keep(_verified(star, *args, "first"), "first")
-    for name in ("ids", "near", "sets"):
-        scratch.drop(f"first-{name}")
-    roots = scratch.keep(components(first, scratch, "cc1"), "roots1")
-    held = nodes.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("path", "cid", "n", F.coalesce("root", "cid").alias("root"))
-    held = scratch.keep(held, "held")
+    seen = scratch.keep(seen.select("doc_id", "n_shingles", "cid"), "seen")
+    scratch.drop("sketches")
+    threshold, args = num / den, (classes, texts.select("tkey", "text"), width, num, den, scratch)
+    least = least_agree(threshold)
+    nodes, leaders = chosen_paths(classes, scratch, threshold)
+    nodes = scratch.keep(nodes, "nodes")
+    deepest = leaders.groupBy("cid").agg(F.expr(f"slice(reverse(array_sort(collect_set(struct(level, leader)))), 1, {LEADERS})").alias("l"))
+    lead = deepest.select("cid", F.explode("l.leader").alias("leader")).select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct()
+    of = lambda c, s: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(s))
+    sized = lead.join(of("a", "sa"), "a").join(of("b", "sb"), "b").where(F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)"))
+    lead = scratch.keep(sized.select("a", "b", "sa", "sb").mapInArrow(_agree_rows(least), "a binary, b binary, agree int"), "lead")
     for level in range(1, LEVELS + 1):
         scratch.drop(f"level-{level}")
-    mixed = held.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("path")
-    held = held.join(mixed, "path")
-    per = held.groupBy("path", "root").agg(F.count("*").alias("k"))
-    main = per.groupBy("path").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    blocks_of = F.ceil(F.col("n") / BLOCK).cast("int")
-    held = held.join(main, "path").withColumns({"parts": blocks_of, "odd": F.col("root") != F.col("main")})
-    held = held.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    sets = _sets(held.select("cid").distinct(), classes, args[1], width, scratch, "second")
-    full = held.join(sets, "cid")
-    block = F.collect_list(F.struct("cid", "root", "shingles"))  # BLOCK members or so
-    every = full.groupBy("path", "block").agg(block.alias("y"))
-    odds = full.where("odd").groupBy("path", F.col("block").alias("own")).agg(block.alias("x"), F.first("parts").alias("parts"))
-    odds = odds.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    second = odds.join(every, ["path", "block"]).select("x", "y").mapInArrow(_block_rows(num, den), "a binary, b binary").distinct()
-    links = scratch.keep(first.union(second), "links")
+    leaf = nodes.where(F.col("n") <= LEAF).join(classes.select("cid", "n_shingles", "sketch"), "cid").groupBy("path").agg(F.collect_list(F.struct("cid", "n_shingles", "sketch")).alias("x"))
+    near = scratch.keep(leaf.select("x").mapInArrow(_leaf_rows(num, den, least), "a binary, b binary, agree int").distinct(), "near")
+    first = _verified(_few_each(near, lead), *args, "first")
+    roots = scratch.keep(components(first, scratch, "cc1"), "roots1")
+    rooted = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+    apart = near.join(rooted("a"), "a", "left").join(rooted("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)")
+    groups = _groups(nodes, roots, scratch)
+    second = _verified(apart, *args, "second")
+    for name in ("nodes", "near", "lead", "held", "clusters"):
+        scratch.drop(name)
+    third = scratch.keep(_large(groups, *args), "third")
+    links = scratch.keep(first.union(second).union(third), "links")
+    scratch.drop("large-sets")
     roots = scratch.keep(components(links, scratch, "cc2"), "roots2")
     named = classes.select("cid", "least_id").join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.join(least, "root").select("cid", "component_id")
-    out = seen.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
+    out = seen.join(named, "cid", "left")
     comp = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))
 
@@ -315,7 +385,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without all but one document of each component (the one with the least doc_id); columns unchanged.
 
-    Repeated rows with one doc_id and text count as copies too: of them the first by all columns stays.
+    Repeated rows with one doc_id and text count as copies too: of them the least one (as JSON) stays.
     Rows without doc_id have nothing to be told apart by and stay, as do texts without words.
     """
     found = near_duplicates(docs, **options)
@@ -324,5 +394,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     known = left.where("doc_id IS NOT NULL")
     twice = known.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id")
     once = known.join(twice, "doc_id", "left_anti").select(docs.columns)
-    again = known.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    row = F.struct(*docs.columns)
+    again = known.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
     return once.unionByName(again).unionByName(left.where("doc_id IS NULL"))
