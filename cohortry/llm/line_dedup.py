@@ -1,13 +1,19 @@
 """Line dedup: a segment-partition edit join, in DataFrame functions only.
 
-A line of at least NEAR_CHARS code points is cut into EDITS + 1 segments; two lines within EDITS edits share one
-of them, shifted by few places.  From SHORT_CHARS on a line may be one edit off (SHORT_EDITS) and is cut into two;
-the shorter of two lines decides.  So each line puts its segments into an index by (segment number, length,
-segment), and probes it for its own length and the EDITS shorter ones with the substrings that the multi-match
-bounds leave.  Candidates whose letter counts allow it are verified by a
-banded bit-parallel edit distance.  Equal lines are one entry of
-the index.  Lines linked, directly or through others, form a class; all but its first occurrence, by document
-and line, are dropped.  Of lines under SHORT_CHARS all equal ones are dropped but the first; blank lines are let be.
+A line of at least near_chars code points is cut into edits + 1 segments; two lines within edits of one another share
+one of them, shifted by few places.  From short_chars on a line may be one edit off (SHORT_EDITS) and is cut into two;
+the shorter of two lines decides.  So each line puts its segments into an index by (length, segment number,
+segment), and probes it for its own length and the shorter ones with the substrings that the multi-match bounds leave.
+
+Lines that share a segment with more than HOT others are cut once more, into PIECES: within edits of one another, they
+share all pieces but as many as there are edits, those before the first edit in place, those behind the last one moved
+by the difference in length.  Each way to leave out pieces is a key; what is left out is again within so many edits, and
+where more than HOT lines share a key it is cut in turn.  So lines meet only if they share ever more.  A hot key's lines are held
+against the least of them at every cut; where all are in one class nothing is left to compare.
+
+Candidates whose letter counts and pieces allow it are verified by a banded bit-parallel edit distance.  Equal lines
+are one entry of the index.  Lines linked, directly or through others, form a class; all but its first occurrence, by
+document and line, are dropped.  Of lines under short_chars all equal ones are dropped but the first; blank lines are let be.
 """
 
 from __future__ import annotations
@@ -18,38 +24,77 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import Scratch
 
-LEAST_CHARS, SHORT_CHARS, NEAR_CHARS, SHORT_EDITS, EDITS = 1, 20, 40, 1, 2
-#: A segment that more lines share is joined in two rounds, against its least line first.
-HOT = 64
+#: Lines this long may be SHORT_EDITS or edits apart: below, two different lines that near often say different things.
+SHORT_CHARS, NEAR_CHARS = 20, 40
+SHORT_EDITS, EDITS = 1, 2
+#: Lines that share a key with more others are cut on, into so many pieces, so often at most; after that a key's lines
+#: outside its largest class are compared with all of them.
+HOT, PIECES, DEPTH = 16, 5, 3
 #: Digests are sent to all executors only if there are at most so many.
 BROADCAST_IDS = 200_000
 
 
-def _start(i: int, length: Column, parts: int) -> Column:
-    """1-based start of segment i (from 1): the last (length mod parts) segments are one longer."""
-    return F.expr(f"{i - 1} * (({{}}) div {parts}) + greatest(0, {i - 1} - ({parts} - ({{}}) % {parts})) + 1".replace("{}", length))
+def segment_shapes(edits: int) -> list[tuple]:
+    """(t, d, indexed, j, off): a line that is d longer than the indexed one, t edits being allowed, looks at segment j, shifted by off."""
+    out = []
+    for t in range(edits + 1):
+        for j in range(1, t + 2):
+            out.append((t, 0, True, j, 0))
+            out += [(t, d, False, j, off) for d in range(t + 1) for off in range(max(1 - j, d - (t + 1 - j)), min(j - 1, d + (t + 1 - j)) + 1)]
+    return out
+
+
+def piece_shapes(edits: int) -> list[tuple]:
+    """(t, d, indexed, i, j, s): pieces i and j (0-based; one and the same, or next to one another: all from i to j) are left out, between
+    them the longer line is shifted by s, behind them by d."""
+    out = []
+    for t in range(edits + 1):
+        runs = [(i, min(i + t, PIECES) - 1) for i in range(PIECES - t + 1)] if t else [(0, -1)]  # all edits in t pieces that follow one another
+        out += [(t, d, x, i, j, 0) for i, j in runs for d, x in ((0, True), *((d, False) for d in range(t + 1)))]
+        if t == 2:
+            for i, j in ((i, j) for i in range(PIECES) for j in range(i + 2, PIECES)):
+                out.append((t, 0, True, i, j, 0))
+                out += [(t, d, False, i, j, s) for d in range(t + 1) for s in range(-t, t + 1) if abs(s) + abs(d - s) <= t]
+    return out
+
+
+def _shaped(rows: DataFrame, shapes: list[tuple], names: str) -> DataFrame:
+    """rows once for each shape of their t, d and indexed; m: the length of the indexed line."""
+    values = ", ".join(str(x) for x in shapes)
+    table = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS shapes({names})")
+    return rows.join(F.broadcast(table), ["t", "d", "indexed"]).withColumn("m", F.length("rest") - F.col("d"))
 
 
-def _size(i: int, length: str, parts: int) -> str:
-    return f"(({length}) div {parts} + if({i} > {parts} - ({length}) % {parts}, 1, 0))"
+def segments(rows: DataFrame, edits: int) -> DataFrame:
+    """(key, id, equal, indexed): the segments that each of rows (g, id, equal, indexed, rest, t, d) puts into the index or looks for."""
+    cut = _shaped(rows, segment_shapes(edits), "t, d, indexed, j, off")
+    cut = cut.withColumn("at", F.expr("cast((j - 1) * (m div (t + 1)) + greatest(0, (j - 1) - (t + 1 - m % (t + 1))) + 1 + off as int)"))
+    cut = cut.withColumn("size", F.expr("cast(m div (t + 1) + if(j > t + 1 - m % (t + 1), 1, 0) as int)")).where("at >= 1 AND at + size <= length(rest) + 1")
+    return cut.select(F.expr("xxhash64(g, j, substring(rest, at, size))").alias("key"), "id", "equal", "indexed")
 
 
-def segments(edits: int = EDITS) -> Column:
-    """Index keys of column line of length n."""
-    p = edits + 1
-    return F.array(*(F.xxhash64(F.lit(i), F.col("n"), F.substring("line", _start(i, "n", p), F.expr(_size(i, "n", p)))) for i in range(1, p + 1)))
+def pieces(rows: DataFrame, edits: int) -> DataFrame:
+    """(key, id, equal, indexed, bag, rest, t, d) of rows (g, id, equal, indexed, bag, rest, t, d): all ways to leave pieces out, and what is left out."""
+    cut = _shaped(rows, piece_shapes(edits), "t, d, indexed, i, j, s")
+    places = {"a": "m * i div {p}", "b": "m * (i + 1) div {p} + s", "c": "m * j div {p} + s", "e": "m * (j + 1) div {p} + d"}  # 0-based ends of the parts
+    cut = cut.withColumns({k: F.expr(f"cast({v.format(p=PIECES)} as int)") for k, v in places.items()})
+    two = "j > i + 1"
+    cut = cut.where(f"if({two}, a <= b AND b <= c AND c <= e, a <= e) AND e <= length(rest)")
+    key = F.expr(f"xxhash64(g, i, j, substring(rest, 1, a), if({two}, substring(rest, b + 1, c - b), ''), substring(rest, e + 1))")
+    left = F.expr(f"if({two}, concat(substring(rest, a + 1, b - a), '\n', substring(rest, c + 1, e - c)), substring(rest, a + 1, e - a))")
+    return cut.select(key.alias("key"), "id", "equal", "indexed", "bag", left.alias("rest"), "t", "d")
 
 
-def probes(edits: int = EDITS) -> Column:
-    """Structs (equal: is it for the own length; key) that find every indexed line at most edits away and not longer."""
-    p, out = edits + 1, []
-    for less in range(edits + 1):
-        length = f"(n - {less})"
-        for i in range(1, p + 1):
-            for off in range(max(1 - i, less - (p - i)), min(i - 1, less + (p - i)) + 1):
-                piece = F.substring("line", _start(i, length, p) + off, F.expr(_size(i, length, p)))
-                out.append(F.struct(F.lit(less == 0).alias("equal"), F.xxhash64(F.lit(i), F.expr(length), piece).alias("key")))
-    return F.array(*out)
+def seeds(lines: DataFrame, edits: int, short_chars: int, near_chars: int) -> DataFrame:
+    """Rows for segments and pieces: each line (id, line, n) as an indexed one, and as one that looks for its length and the shorter ones."""
+    options = []
+    for t, where in ((edits, f"m >= {near_chars}"), (min(SHORT_EDITS, edits), f"m < {near_chars}")):
+        for indexed, d in ((True, 0), *((False, d) for d in range(t + 1))):
+            m = f"(n - {d})"
+            fit = f"{m} >= {short_chars} AND {where.replace('m ', m + ' ')}"
+            options.append(f"if({fit}, named_struct('indexed', {indexed}, 't', {t}, 'd', {d}), null)")
+    rows = lines.select("id", "line", "n", F.explode(F.expr(f"array({', '.join(options)})")).alias("o")).where("o IS NOT NULL")
+    return rows.select(F.expr("xxhash64(o.t, n - o.d)").alias("g"), "id", (F.col("o.d") == 0).alias("equal"), "o.indexed", F.col("line").alias("rest"), "o.t", "o.d")
 
 
 def within_edits(a: str, b: str, edits: int = EDITS) -> Column:
@@ -73,8 +118,8 @@ def within_edits(a: str, b: str, edits: int = EDITS) -> Column:
     return F.expr(f"CASE WHEN abs(length({a}) - length({b})) > {k} THEN false WHEN length({short}) <= {k} THEN length({long}) <= {k} OR levenshtein({a}, {b}) <= {k} ELSE {whole} <= {k} END")
 
 
-#: Letters by group: an edit changes the count of a group by one at most.
-BAGS = ("ae", "io", "ur", "tn", "sh", "ld", "cm", ", .")
+#: Letters by group: an edit takes one from a group and adds one to another at most.
+BAGS = ("a", "e", "io", "u", "r", "t", "n", "s", "hx", "ld", "cmk", ", .", "bgw", "fpvy", "0123456789")
 
 
 def bag(line: str) -> Column:
@@ -82,67 +127,100 @@ def bag(line: str) -> Column:
     return F.array(*(F.length(line) - F.length(F.translate(F.col(line), g, "")) for g in BAGS))
 
 
-def near_bags(a: str, b: str, edits: int) -> Column:
-    """A condition that lines within edits meet: no group's count differs by more."""
-    out = F.lit(True)
-    for k in range(len(BAGS)):
-        out = out & (F.abs(F.col(a)[k] - F.col(b)[k]) <= edits)
-    return out
+def near_bags(a: str, b: str, edits: str) -> Column:
+    """A condition that lines within edits meet: the groups' counts differ by 2 * edits at most in all."""
+    return F.expr(" + ".join(f"abs({a}[{k}] - {b}[{k}])" for k in range(len(BAGS))) + f" <= 2 * ({edits})")
+
+
+def near_pieces(a: str, b: str, edits: int) -> Column:
+    """A condition that lines within edits meet: of 4 * edits pieces of a, all but edits stand in b, shifted by edits at most."""
+    p, found = 4 * edits, []
+    for i in range(p):
+        lo, hi = f"(length({a}) * {i} div {p})", f"(length({a}) * {i + 1} div {p})"
+        piece, window = f"substring({a}, cast({lo} + 1 as int), cast({hi} - {lo} as int))", f"substring({b}, cast(greatest({lo} + 1 - {edits}, 1) as int), cast({hi} - {lo} + {2 * edits} as int))"
+        found.append(f"if(instr({window}, {piece}) > 0, 1, 0)")
+    return F.expr(f"{' + '.join(found) if found else '0'} >= {p - edits}")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Occurrences of the lines that count: document (d, rid), number, digest, line, n."""
+    """Occurrences of the lines that are not blank: document (d, rid), number, digest, line."""
     each = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    each = each.withColumn("n", F.length("line")).where((F.col("n") >= LEAST_CHARS) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    return each.select("d", "rid", "no", F.expr("unhex(md5(line))").alias("digest"), "line", "n")
+    return each.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("d", "rid", "no", F.expr("unhex(md5(line))").alias("digest"), "line")
 
 
-def _linked(pairs: DataFrame, lines: DataFrame, edits: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of digests whose lines are at most edits apart, SHORT_EDITS where one is under NEAR_CHARS."""
+def _linked(pairs: DataFrame, lines: DataFrame, edits: int, near_chars: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of digests, of pairs of ids, whose lines are at most edits apart, SHORT_EDITS where one is under near_chars."""
+    short = min(SHORT_EDITS, edits)
     pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
-    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), f"{name}-ids")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     few = ids.count() <= BROADCAST_IDS
-    texts = scratch.keep(lines.select("digest", "line").join(F.broadcast(ids) if few else ids, "digest"), f"{name}-texts")
-    texts = texts.withColumn("bag", bag("line"))
-    both = pairs.join(texts.toDF("a", "la", "ba"), "a").join(texts.toDF("b", "lb", "bb"), "b").where(near_bags("ba", "bb", edits))
-    long = F.least(F.length("la"), F.length("lb")) >= NEAR_CHARS
-    return both.where(F.when(long, within_edits("la", "lb", edits)).otherwise(within_edits("la", "lb", min(SHORT_EDITS, edits)))).select("a", "b")
-
-
-def line_classes(docs: DataFrame, edits: int = EDITS, scratch: Scratch | None = None) -> DataFrame:
+    texts = scratch.keep(lines.select("id", "digest", "line", bag("line").alias("bag")).join(F.broadcast(ids) if few else ids, "id"), f"{name}-texts")
+    both = pairs.join(texts.toDF("a", "da", "la", "ba"), "a").join(texts.toDF("b", "db", "lb", "bb"), "b")
+    both = both.withColumn("long", F.least(F.length("la"), F.length("lb")) >= near_chars)
+    near = both.where(near_bags("ba", "bb", f"if(long, {edits}, {short})")).where(F.when(F.col("long"), near_pieces("la", "lb", edits)).otherwise(near_pieces("la", "lb", short)))
+    near = scratch.keep(near.select("da", "db", "la", "lb", "long"), f"{name}-near")
+    links = near.where(F.when(F.col("long"), within_edits("la", "lb", edits)).otherwise(within_edits("la", "lb", short)))
+    links = scratch.keep(links.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")), name)
+    for part in ("pairs", "texts", "near"):
+        scratch.drop(f"{name}-{part}")
+    return links
+
+
+def near_links(lines: DataFrame, edits: int, short_chars: int, near_chars: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of digests that join all lines (id, digest, line, n) which are near, directly or through others."""
+    if edits not in (0, 1, 2):
+        raise ValueError("edits: 0, 1 or 2")
+    a_b = (F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    keyed, links, roots = segments(seeds(lines, edits, short_chars, near_chars), edits), None, None
+    for depth in range(DEPTH + 1):
+        index = keyed.where("indexed").drop("indexed", "equal", "rest", "t", "d")
+        hot = scratch.keep(index.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("least")).where(F.col("k") > HOT).select("key", "least"), f"hot-{depth}")
+        n_hot = hot.count()
+        side = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
+        seek = keyed.where("NOT indexed").drop("indexed", "rest", "t", "d").withColumnsRenamed({"id": "other", "bag": "bag2"})
+        met = (index.join(side, "key", "left_anti") if n_hot else index).join(seek, "key").where("id <> other AND (NOT equal OR id < other)")
+        if roots:
+            met = met.where(near_bags("bag", "bag2", f"{edits}")).join(roots.toDF("id", "r1"), "id", "left").join(roots.toDF("other", "r2"), "other", "left").where("coalesce(r1, id) <> coalesce(r2, other)")
+        pairs = met.select(*a_b)
+        if n_hot:
+            shared = scratch.keep(keyed.join(side, "key"), f"shared-{depth}")
+            pairs = pairs.union(shared.where("id <> least").select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b")))
+        found = _linked(pairs, lines, edits, near_chars, scratch, f"links-{depth}")
+        links = found if links is None else links.union(found)
+        if not n_hot:
+            break
+        both = components(links, scratch, f"cc-{depth}").toDF("digest", "root")
+        names = lines.select("digest", "id")
+        roots = scratch.keep(both.join(names, "digest").join(names.toDF("root", "root_id"), "root").select("id", F.col("root_id").alias("root")), f"roots-{depth}")
+        held = shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        mixed = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        held = scratch.keep(held.join(mixed, "key"), f"held-{depth}")
+        if held.isEmpty():
+            break
+        if depth < DEPTH:
+            if depth == 0:
+                some = lines.join(held.select("id").distinct(), "id")
+                part = seeds(some, edits, short_chars, near_chars).join(some.select("id", bag("line").alias("bag")), "id")
+            else:
+                part = held.select(F.col("key").alias("g"), "id", "equal", "indexed", "bag", "rest", "t", "d")
+            keyed = scratch.keep(pieces(part, edits), f"keyed-{depth + 1}")
+    else:  # still hot after all cuts
+        held = held.groupBy("key", "id", "root").agg(F.max("indexed").alias("indexed"), F.first("bag").alias("bag"))
+        main = held.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+        odd = held.join(main, "key").where("root <> main").select("key", F.col("id").alias("other"), F.col("root").alias("r2"), F.col("indexed").alias("i2"), F.col("bag").alias("bag2"))
+        rest = held.join(odd, "key").where("root <> r2 AND (indexed OR i2)").where(near_bags("bag", "bag2", f"{edits}")).select(*a_b)
+        links = links.union(_linked(rest, lines, edits, near_chars, scratch, "links-rest"))
+    return links
+
+
+def line_classes(docs: DataFrame, edits: int = EDITS, short_chars: int = SHORT_CHARS, near_chars: int = NEAR_CHARS, scratch: Scratch | None = None) -> DataFrame:
     """(digest, first): every line content that occurs again, itself or nearly, with the first place (d, rid, no) of its class."""
     scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
     place = F.struct("d", "rid", "no")
-    lines = scratch.keep(_lines(docs).groupBy("digest").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.first("line").alias("line"), F.first("n").alias("n")), "lines")
-    near, short = lines.where(F.col("n") >= SHORT_CHARS), min(SHORT_EDITS, edits)
-    own = F.when(F.col("n") >= NEAR_CHARS, segments(edits)).otherwise(segments(short))
-    # a line that is hardly long also seeks the short ones
-    seek = F.when(F.col("n") >= NEAR_CHARS + short, probes(edits)).when(F.col("n") >= NEAR_CHARS, F.concat(probes(edits), probes(short))).otherwise(probes(short))
-    keys = near.select("digest", own.alias("own"), seek.alias("seek"))
-    index = keys.select("digest", F.explode("own").alias("key"))
-    seek = keys.select("digest", F.explode("seek").alias("s")).select("digest", "s.key", "s.equal")
-    hot = scratch.keep(index.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("key"), "hot")
-    has_hot = not hot.isEmpty()
-    few = hot.count() <= BROADCAST_IDS
-    side = F.broadcast(hot) if few else hot
-    cold = index.join(side, "key", "left_anti") if has_hot else index
-    met = cold.join(seek.withColumnRenamed("digest", "other"), "key").where("digest <> other AND (NOT equal OR digest < other)")
-    pairs = met.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b"))
-    links = scratch.keep(_linked(pairs, lines, edits, scratch, "cold"), "links")
-    if has_hot:
-        own = index.join(side, "key", "left_semi").withColumn("indexed", F.lit(True))
-        all_ = scratch.keep(own.union(seek.join(side, "key", "left_semi").select("key", "digest", F.lit(False))).groupBy("key", "digest").agg(F.max("indexed").alias("indexed")), "hot-lines")
-        star = all_.join(all_.where("indexed").groupBy("key").agg(F.min("digest").alias("a")), "key").where("a <> digest").select("a", F.col("digest").alias("b"))
-        links = scratch.keep(links.union(_linked(star, lines, edits, scratch, "star")), "links-star")
-        roots = scratch.keep(components(links, scratch, "cc-star"), "roots-star")
-        bags = all_.select("digest").distinct().join(lines.select("digest", bag("line").alias("bag")), "digest")
-        held = all_.join(roots.withColumnRenamed("id", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        held = scratch.keep(held.join(bags, "digest"), "hot-held")
-        per = held.groupBy("key", "root").agg(F.count("*").alias("k"))
-        main = per.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-        odd = held.join(main, "key").where("root <> main").select("key", F.col("digest").alias("other"), F.col("root").alias("r2"), F.col("indexed").alias("i2"), F.col("bag").alias("bag2"))
-        rest = held.join(odd, "key").where(F.expr("root <> r2 AND (indexed OR i2)") & near_bags("bag", "bag2", edits)).select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b"))
-        links = scratch.keep(links.union(_linked(rest, lines, edits, scratch, "rest")), "links-rest")
+    lines = _lines(docs).groupBy("digest").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.first("line").alias("line"))
+    # ids serve to find candidates: should two lines share one, both are verified
+    lines = scratch.keep(lines.withColumns({"id": F.xxhash64("digest"), "n": F.length("line")}), "lines")
+    links = near_links(lines.where(F.col("n") >= short_chars), edits, short_chars, near_chars, scratch)
     roots = scratch.keep(components(links, scratch, "cc"), "roots").withColumnRenamed("id", "digest")
     alone = lines.where("copies > 1").join(roots, "digest", "left_anti").select("digest", F.col("place").alias("first"))
     linked = lines.select("digest", "place").join(roots, "digest")
@@ -150,23 +228,25 @@ def line_classes(docs: DataFrame, edits: int = EDITS, scratch: Scratch | None =
     return alone.union(linked.join(first, "root").select("digest", "first"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, scratch: Scratch | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, short_chars: int = SHORT_CHARS, near_chars: int = NEAR_CHARS, scratch: Scratch | None = None) -> DataFrame:
     """docs with the text rid of repeated lines, and columns n_lines, n_dropped (all columns of docs stay, but for
     older ones of these two names).
 
     docs needs doc_id and text.  A null text stays null with no lines; an empty text is one empty line.
     Repeated rows (equal doc_id and text) are one document and keep the same lines; a null doc_id comes
-    before all others.  Documents themselves are never dropped here.
+    before all others.  Documents themselves are never dropped here.  Lines of short_chars code points or more are
+    linked if SHORT_EDITS apart, those of near_chars or more if edits (0, 1 or 2) apart; shorter ones only if equal.
     """
     scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
-    classes = scratch.keep(line_classes(docs, edits, scratch), "classes")
+    classes = scratch.keep(line_classes(docs, edits, short_chars, near_chars, scratch), "classes")
+    scratch.drop("lines")
     again = _lines(docs).select("d", "rid", "no", "digest").join(classes, "digest")
     same = F.col("d").eqNullSafe(F.col("first.d")) & (F.col("rid") == F.col("first.rid")) & (F.col("no") == F.col("first.no"))
     drops = scratch.keep(again.where(~same).groupBy("d", "rid").agg(F.collect_set("no").alias("__drops")), "drops")
     keyed = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
     hit = keyed.join(drops.withColumnsRenamed({"d": "__d", "rid": "__r"}), (F.col("__rid") == F.col("__r")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left")
     parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__drops", i)), "\n")
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__drops"), lambda i: F.get(parts, i)), "\n")
     n_dropped = F.when(F.col("__drops").isNull(), 0).otherwise(F.size("__drops"))
     out = hit.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"), "n_dropped": n_dropped.cast("long"), "text": F.when(F.col("__drops").isNull(), F.col("text")).otherwise(kept)})
     return out.select(*(c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")

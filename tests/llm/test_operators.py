@@ -397,8 +397,7 @@ def test_line_dedup_equals_brute_force(spark):
     lines = {}
     for i, t in docs:
         for k, x in enumerate(t.split("\n")):
-            if len(x) >= line_dedup.LEAST_CHARS:
-                lines.setdefault(x, (i, k))
+            lines.setdefault(x, (i, k))
     up = {x: x for x in lines}
 
     def find(x):
@@ -414,12 +413,15 @@ def test_line_dedup_equals_brute_force(spark):
     first = {}
     for x, at in lines.items():
         first[find(x)] = min(first.get(find(x), at), at)
-    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if len(x) < line_dedup.LEAST_CHARS or first[find(x)] == (i, k)) for i, t in docs}
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if first[find(x)] == (i, k)) for i, t in docs}
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == want
 
 
-def test_line_dedup_of_short_lines_equals_brute_force(spark):
+@pytest.mark.parametrize("hot, depth, short_chars, near_chars", [(16, 5, 20, 40), (3, 2, 20, 40), (2, 1, 4, 20)])
+def test_line_dedup_of_short_lines_equals_brute_force(spark, monkeypatch, hot, depth, short_chars, near_chars):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "DEPTH", depth)
     r, docs = random.Random(8), []
     bases = [(prose(20, 300 + n)[: n - 1] + ".") for n in (1, 2, 5, 12, 19, 20, 21, 22, 30, 38, 39, 40, 41, 42) for _ in range(2)] + ["Licensed under CC BY-NC 4.0.", "}"]
     for i in range(90):
@@ -432,6 +434,11 @@ def test_line_dedup_of_short_lines_equals_brute_force(spark):
             lines.append("".join(t))
         docs.append((i, "\n".join(lines)))
     docs += [(90 + i, "same head of the" + f" {i:03d} line") for i in range(80)]  # versions of one line share a segment
+    for i in range(60):  # versions that are mostly too far from one another
+        t = list(prose(14, 99))
+        for _ in range(r.randint(1, 4)):
+            t[r.randrange(len(t))] = r.choice("qz")
+        docs.append((170 + i, "".join(t)))
     first = {}
     for i, t in docs:
         for k, x in enumerate(t.split("\n")):
@@ -447,12 +454,12 @@ def test_line_dedup_of_short_lines_equals_brute_force(spark):
     for x in up:
         for y in up:
             least = min(len(x), len(y))
-            if x < y and least >= 20 and find(x) != find(y) and near(x, y, 1 if least < 40 else 2):
+            if x < y and least >= short_chars and find(x) != find(y) and near(x, y, 1 if least < near_chars else 2):
                 up[find(x)] = find(y)
     for x, at in list(first.items()):
         first[find(x)] = min(first[find(x)], at)
     want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if not x.strip() or first[find(x)] == (i, k)) for i, t in docs}
-    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), short_chars=short_chars, near_chars=near_chars).collect()}
     assert got == want
 
 
