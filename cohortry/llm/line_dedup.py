@@ -35,66 +35,67 @@ BROADCAST_IDS = 200_000
 
 
 def segment_shapes(edits: int) -> list[tuple]:
-    """(t, d, indexed, j, off): a line that is d longer than the indexed one, t edits being allowed, looks at segment j, shifted by off."""
-    out = []
-    for t in range(edits + 1):
-        for j in range(1, t + 2):
-            out.append((t, 0, True, j, 0))
-            out += [(t, d, False, j, off) for d in range(t + 1) for off in range(max(1 - j, d - (t + 1 - j)), min(j - 1, d + (t + 1 - j)) + 1)]
-    return out
+    """(t, d, same, j, off): a line that is d longer than the indexed one, t edits being allowed, looks at segment j, shifted by
+    off; same: neither differs, so that its own segment is meant."""
+    spread = lambda t, d, j: range(max(1 - j, d - (t + 1 - j)), min(j - 1, d + (t + 1 - j)) + 1)
+    return [(t, d, d == off == 0, j, off) for t in range(edits + 1) for d in range(t + 1) for j in range(1, t + 2) for off in spread(t, d, j)]
 
 
 def piece_shapes(edits: int) -> list[tuple]:
-    """(t, d, indexed, i, j, s): pieces i and j (0-based; one and the same, or next to one another: all from i to j) are left out, between
+    """(t, d, same, i, j, s): pieces i and j (0-based; one and the same, or next to one another: all from i to j) are left out, between
     them the longer line is shifted by s, behind them by d."""
     out = []
     for t in range(edits + 1):
         runs = [(i, min(i + t, PIECES) - 1) for i in range(PIECES - t + 1)] if t else [(0, -1)]  # all edits in t pieces that follow one another
-        out += [(t, d, x, i, j, 0) for i, j in runs for d, x in ((0, True), *((d, False) for d in range(t + 1)))]
+        out += [(t, d, d == 0, i, j, 0) for i, j in runs for d in range(t + 1)]
         if t == 2:
-            for i, j in ((i, j) for i in range(PIECES) for j in range(i + 2, PIECES)):
-                out.append((t, 0, True, i, j, 0))
-                out += [(t, d, False, i, j, s) for d in range(t + 1) for s in range(-t, t + 1) if abs(s) + abs(d - s) <= t]
+            apart = [(i, j) for i in range(PIECES) for j in range(i + 2, PIECES)]
+            out += [(t, d, d == s == 0, i, j, s) for i, j in apart for d in range(t + 1) for s in range(-t, t + 1) if abs(s) + abs(d - s) <= t]
     return out
 
 
 def _shaped(rows: DataFrame, shapes: list[tuple], names: str) -> DataFrame:
-    """rows once for each shape of their t, d and indexed; m: the length of the indexed line."""
+    """rows once for each shape of their t and d; m: the length of the indexed line."""
     values = ", ".join(str(x) for x in shapes)
-    table = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS shapes({names})")
-    return rows.join(F.broadcast(table), ["t", "d", "indexed"]).withColumn("m", F.length("rest") - F.col("d"))
+    table = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS shapes(t, d, same, {names})")
+    cut = rows.join(F.broadcast(table), ["t", "d"])
+    return cut.withColumns({"m": F.col("n") - F.col("d"), "own": F.col("own") & F.col("same")})
 
 
 def segments(rows: DataFrame, edits: int) -> DataFrame:
-    """(key, id, equal, indexed): the segments that each of rows (g, id, equal, indexed, rest, t, d) puts into the index or looks for."""
-    cut = _shaped(rows, segment_shapes(edits), "t, d, indexed, j, off")
+    """(key, id, equal, own): the segments that each of rows (g, id, equal, own, rest, n, t, d) looks for; its own ones are the index."""
+    cut = _shaped(rows.withColumn("plain", F.octet_length("rest") == F.col("n")), segment_shapes(edits), "j, off")
     cut = cut.withColumn("at", F.expr("cast((j - 1) * (m div (t + 1)) + greatest(0, (j - 1) - (t + 1 - m % (t + 1))) + 1 + off as int)"))
-    cut = cut.withColumn("size", F.expr("cast(m div (t + 1) + if(j > t + 1 - m % (t + 1), 1, 0) as int)")).where("at >= 1 AND at + size <= length(rest) + 1")
-    return cut.select(F.expr("xxhash64(g, j, substring(rest, at, size))").alias("key"), "id", "equal", "indexed")
+    cut = cut.withColumn("size", F.expr("cast(m div (t + 1) + if(j > t + 1 - m % (t + 1), 1, 0) as int)")).where("at >= 1 AND at + size <= n + 1")
+    # bytes are found at once, code points only from the start; the hash is the same
+    key = F.expr("if(plain, xxhash64(g, j, substring(cast(rest as binary), at, size)), xxhash64(g, j, substring(rest, at, size)))")
+    return cut.select(key.alias("key"), "id", "equal", "own")
 
 
 def pieces(rows: DataFrame, edits: int) -> DataFrame:
-    """(key, id, equal, indexed, bag, rest, t, d) of rows (g, id, equal, indexed, bag, rest, t, d): all ways to leave pieces out, and what is left out."""
-    cut = _shaped(rows, piece_shapes(edits), "t, d, indexed, i, j, s")
+    """(key, id, equal, own, bag, rest, n, t, d) of rows (g, id, equal, own, bag, rest, n, t, d): all ways to leave pieces out, and what is left out."""
+    cut = _shaped(rows, piece_shapes(edits), "i, j, s")
     places = {"a": "m * i div {p}", "b": "m * (i + 1) div {p} + s", "c": "m * j div {p} + s", "e": "m * (j + 1) div {p} + d"}  # 0-based ends of the parts
     cut = cut.withColumns({k: F.expr(f"cast({v.format(p=PIECES)} as int)") for k, v in places.items()})
     two = "j > i + 1"
-    cut = cut.where(f"if({two}, a <= b AND b <= c AND c <= e, a <= e) AND e <= length(rest)")
+    cut = cut.where(f"if({two}, a <= b AND b <= c AND c <= e, a <= e) AND e <= n")
     key = F.expr(f"xxhash64(g, i, j, substring(rest, 1, a), if({two}, substring(rest, b + 1, c - b), ''), substring(rest, e + 1))")
     left = F.expr(f"if({two}, concat(substring(rest, a + 1, b - a), '\n', substring(rest, c + 1, e - c)), substring(rest, a + 1, e - a))")
-    return cut.select(key.alias("key"), "id", "equal", "indexed", "bag", left.alias("rest"), "t", "d")
+    cut = cut.select(key.alias("key"), "id", "equal", "own", "bag", left.alias("rest"), "t", "d")
+    return cut.withColumn("n", F.length("rest"))
 
 
 def seeds(lines: DataFrame, edits: int, short_chars: int, near_chars: int) -> DataFrame:
-    """Rows for segments and pieces: each line (id, line, n) as an indexed one, and as one that looks for its length and the shorter ones."""
+    """Rows for segments and pieces: each line (id, line, n) looks for lines of its length and shorter ones."""
     options = []
-    for t, where in ((edits, f"m >= {near_chars}"), (min(SHORT_EDITS, edits), f"m < {near_chars}")):
-        for indexed, d in ((True, 0), *((False, d) for d in range(t + 1))):
+    for t, longer in ((edits, True), (min(SHORT_EDITS, edits), False)):
+        for d in range(t + 1):
             m = f"(n - {d})"
-            fit = f"{m} >= {short_chars} AND {where.replace('m ', m + ' ')}"
-            options.append(f"if({fit}, named_struct('indexed', {indexed}, 't', {t}, 'd', {d}), null)")
+            fit = f"{m} >= {max(short_chars, near_chars)}" if longer else f"{m} >= {short_chars} AND {m} < {near_chars}"
+            options.append(f"if({fit}, named_struct('t', {t}, 'd', {d}), null)")
     rows = lines.select("id", "line", "n", F.explode(F.expr(f"array({', '.join(options)})")).alias("o")).where("o IS NOT NULL")
-    return rows.select(F.expr("xxhash64(o.t, n - o.d)").alias("g"), "id", (F.col("o.d") == 0).alias("equal"), "o.indexed", F.col("line").alias("rest"), "o.t", "o.d")
+    same = F.col("o.d") == 0
+    return rows.select(F.expr("xxhash64(o.t, n - o.d)").alias("g"), "id", same.alias("equal"), same.alias("own"), F.col("line").alias("rest"), "n", "o.t", "o.d")
 
 
 def within_edits(a: str, b: str, edits: int = EDITS) -> Column:
@@ -145,14 +146,15 @@ def near_pieces(a: str, b: str, edits: int) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """Occurrences of the lines that are not blank: document (d, rid), number, digest, line."""
     each = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return each.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("d", "rid", "no", F.expr("unhex(md5(line))").alias("digest"), "line")
+    blank = F.ltrim("line", F.lit(" \t\n\x0b\f\r")) == ""
+    return each.where(~blank).select("d", "rid", "no", F.expr("unhex(md5(line))").alias("digest"), "line")
 
 
 def _linked(pairs: DataFrame, lines: DataFrame, edits: int, near_chars: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of digests, of pairs of ids, whose lines are at most edits apart, SHORT_EDITS where one is under near_chars."""
     short = min(SHORT_EDITS, edits)
     pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = scratch.keep(lines.select("id", "digest", "line", bag("line").alias("bag")).join(F.broadcast(ids) if few else ids, "id"), f"{name}-texts")
     both = pairs.join(texts.toDF("a", "da", "la", "ba"), "a").join(texts.toDF("b", "db", "lb", "bb"), "b")
@@ -161,7 +163,7 @@ def _linked(pairs: DataFrame, lines: DataFrame, edits: int, near_chars: int, scr
     near = scratch.keep(near.select("da", "db", "la", "lb", "long"), f"{name}-near")
     links = near.where(F.when(F.col("long"), within_edits("la", "lb", edits)).otherwise(within_edits("la", "lb", short)))
     links = scratch.keep(links.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")), name)
-    for part in ("pairs", "texts", "near"):
+    for part in ("pairs", "ids", "texts", "near"):
         scratch.drop(f"{name}-{part}")
     return links
 
@@ -171,44 +173,45 @@ def near_links(lines: DataFrame, edits: int, short_chars: int, near_chars: int,
     if edits not in (0, 1, 2):
         raise ValueError("edits: 0, 1 or 2")
     a_b = (F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    keyed, links, roots = segments(seeds(lines, edits, short_chars, near_chars), edits), None, None
+    apart = "id <> other AND (NOT equal OR id < other)"
+    keyed, links = segments(seeds(lines, edits, short_chars, near_chars), edits), None
     for depth in range(DEPTH + 1):
-        index = keyed.where("indexed").drop("indexed", "equal", "rest", "t", "d")
-        hot = scratch.keep(index.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("least")).where(F.col("k") > HOT).select("key", "least"), f"hot-{depth}")
-        n_hot = hot.count()
-        side = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
-        seek = keyed.where("NOT indexed").drop("indexed", "rest", "t", "d").withColumnsRenamed({"id": "other", "bag": "bag2"})
-        met = (index.join(side, "key", "left_anti") if n_hot else index).join(seek, "key").where("id <> other AND (NOT equal OR id < other)")
-        if roots:
-            met = met.where(near_bags("bag", "bag2", f"{edits}")).join(roots.toDF("id", "r1"), "id", "left").join(roots.toDF("other", "r2"), "other", "left").where("coalesce(r1, id) <> coalesce(r2, other)")
-        pairs = met.select(*a_b)
-        if n_hot:
-            shared = scratch.keep(keyed.join(side, "key"), f"shared-{depth}")
-            pairs = pairs.union(shared.where("id <> least").select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b")))
-        found = _linked(pairs, lines, edits, near_chars, scratch, f"links-{depth}")
+        index = keyed.where("own").groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("least"))
+        # a key's lines are all among those that look for it: a lone one meets them here, more than one are sorted out below
+        met = index.hint("shuffle_hash").join(keyed, "key").where("k > 1 OR least <> id AND (NOT equal OR least < id)")
+        met = scratch.keep(met, f"met-{depth}")
+        some = met.where(f"k <= {HOT} AND k > 1")
+        few = some.where("own").select("key", *(c for c in ("id", "bag") if c in met.columns))
+        few = few.join(some.drop("own", "k", "least", "rest", "n", "t", "d").withColumnsRenamed({"id": "other", "bag": "bag2"}), "key").where(apart)
+        if depth:
+            few = few.where(near_bags("bag", "bag2", f"{edits}")).join(roots.toDF("id", "r1"), "id", "left").join(roots.toDF("other", "r2"), "other", "left").where("coalesce(r1, id) <> coalesce(r2, other)")
+        star = met.where(f"(k = 1 OR k > {HOT}) AND id <> least").select("id", F.col("least").alias("other"))
+        found = _linked(few.select(*a_b).union(star.select(*a_b)), lines, edits, near_chars, scratch, f"links-{depth}")
         links = found if links is None else links.union(found)
-        if not n_hot:
+        hot = met.where(F.col("k") > HOT)
+        if hot.isEmpty():
             break
         both = components(links, scratch, f"cc-{depth}").toDF("digest", "root")
         names = lines.select("digest", "id")
         roots = scratch.keep(both.join(names, "digest").join(names.toDF("root", "root_id"), "root").select("id", F.col("root_id").alias("root")), f"roots-{depth}")
-        held = shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        held = hot.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         held = scratch.keep(held.join(mixed, "key"), f"held-{depth}")
+        scratch.drop(f"met-{depth}")
         if held.isEmpty():
             break
+        if depth == 0:
+            again = lines.join(held.select("id").distinct(), "id")
+            part = seeds(again, edits, short_chars, near_chars).join(again.select("id", bag("line").alias("bag")), "id")
+        else:
+            part = held.select(F.col("key").alias("g"), "id", "equal", "own", "bag", "rest", "n", "t", "d")
         if depth < DEPTH:
-            if depth == 0:
-                some = lines.join(held.select("id").distinct(), "id")
-                part = seeds(some, edits, short_chars, near_chars).join(some.select("id", bag("line").alias("bag")), "id")
-            else:
-                part = held.select(F.col("key").alias("g"), "id", "equal", "indexed", "bag", "rest", "t", "d")
             keyed = scratch.keep(pieces(part, edits), f"keyed-{depth + 1}")
     else:  # still hot after all cuts
-        held = held.groupBy("key", "id", "root").agg(F.max("indexed").alias("indexed"), F.first("bag").alias("bag"))
+        held = held.groupBy("key", "id", "root").agg(F.max("own").alias("own"), F.first("bag").alias("bag"))
         main = held.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-        odd = held.join(main, "key").where("root <> main").select("key", F.col("id").alias("other"), F.col("root").alias("r2"), F.col("indexed").alias("i2"), F.col("bag").alias("bag2"))
-        rest = held.join(odd, "key").where("root <> r2 AND (indexed OR i2)").where(near_bags("bag", "bag2", f"{edits}")).select(*a_b)
+        odd = held.join(main, "key").where("root <> main").select("key", F.col("id").alias("other"), F.col("root").alias("r2"), F.col("own").alias("own2"), F.col("bag").alias("bag2"))
+        rest = held.join(odd, "key").where("root <> r2 AND (own OR own2)").where(near_bags("bag", "bag2", f"{edits}")).select(*a_b)
         links = links.union(_linked(rest, lines, edits, near_chars, scratch, "links-rest"))
     return links
 
