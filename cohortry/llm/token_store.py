@@ -4,16 +4,19 @@ A document's ids (with the end id) are cut into chunks where a rolling hash of t
 zero, so equal passages give equal chunks wherever they stand.  A chunk is known by its digest and stored once:
 with its only document, or, if several places hold it, with the first of them (in order of document), apart
 from the inline chunks.  A document's recipe lists its chunks; its root is the Merkle root of their digests,
-and each segment's manifest line has the Merkle root of its documents.  Documents stand in ascending order.
+each segment's manifest line has the Merkle root of its documents (doc_id and root) in their order, and the top line that of the segments.
+Reading holds all of it against what is there, and raises if a chunk, document, file or line is missing, repeated, moved or changed.
+Documents stand in ascending order.
 
-Layout below the store's folder: ``documents/`` (segment, doc_id, row, seg_start, n_tokens, recipe, inline,
-shared, root) and ``manifest/`` (segment, n_docs, n_tokens, seg_base, root).
+Layout below the store's folder: ``documents/`` (segment, doc_id, row, seg_start, n_tokens, recipe, ends, apart, inline,
+shared, root), ``manifest/`` (segment, n_docs, n_tokens, root, seg_base) and ``top/`` (n_segments, n_docs, n_tokens, root).
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,19 +68,22 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def _pack(ids: bytes) -> bytes:
-    """Compressed ids: 16 bits each where they fit."""
+@lru_cache(maxsize=1)
+def _zstd():
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
+def _pack(ids: bytes) -> bytes:
+    """Compressed ids: 16 bits each where they fit."""
     x = np.frombuffer(ids, "<u4")
     small = not len(x) or int(x.max()) < 65536
-    return (b"s" if small else b"l") + zstandard.compress(x.astype("<u2").tobytes() if small else ids, 1)
+    return (b"s" if small else b"l") + _zstd()[0](x.astype("<u2").tobytes() if small else ids)
 
 
 def _unpack(data: bytes) -> bytes:
-    import zstandard
-
-    raw = zstandard.decompress(data[1:])
+    raw = _zstd()[1](data[1:])
     return np.frombuffer(raw, "<u2").astype("<u4").tobytes() if data[:1] == b"s" else raw
 
 
@@ -107,67 +113,67 @@ def _encode_rows(vocab: str, end_id: int):
     return rows
 
 
-_DIGESTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("digest", pa.binary())])
 _STORED = pa.schema(
     [("segment", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("seg_start", pa.int64()), ("n_tokens", pa.int64()), ("recipe", pa.binary()), ("ends", pa.binary()), ("apart", pa.binary()), ("inline", pa.binary()), ("shared", pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())]))), ("root", pa.binary())]
 )
 _STORED_SQL = "segment int, doc_id long, row long, seg_start long, n_tokens long, recipe binary, ends binary, apart binary, inline binary, shared array<struct<digest:binary,data:binary>>, root binary"
 
 
-def _digest_rows(batches):
-    for b in batches:
-        d = b["digests"].to_pylist()
-        n = [len(x) // 16 for x in d]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(b["row"].to_numpy(), n)),
-                pa.array([x for x, k in zip(b["doc_id"].to_pylist(), n) for _ in range(k)], pa.int64()),
-                pa.array(np.concatenate([np.arange(k) for k in n] or [[]]), pa.int32()),
-                pa.array([x[i : i + 16] for x in d for i in range(0, len(x), 16)], pa.binary()),
-            ],
-            schema=_DIGESTS,
-        )
-
-
 def _store_rows(batches):
     """Rows come in order, a document's list of shared chunks before the document itself."""
     from pyspark import TaskContext
 
     segment, start, marks = TaskContext.get().partitionId(), 0, {}
+    names = [f.name for f in _STORED]
     for b in batches:
-        out = []
-        for r in b.to_pylist():
-            if r["n_tokens"] is None:
-                marks = {m["pos"]: m["owner"] for m in r["marks"]}
+        out = [[] for _ in names]
+        cols = (b[c] for c in ("doc_id", "row", "n_tokens", "digests", "ends", "ids", "marks"))
+        for doc, row, n, d, ends, ids, listed in zip(*(c.to_pylist() for c in cols)):
+            if n is None:
+                marks = {m["pos"]: m["owner"] for m in listed}
                 continue
-            raw, d = _unpack(r["ids"]), r["digests"]
-            ends = np.frombuffer(r["ends"], "<i8").tolist()
-            apart, inline, shared = bytearray(len(ends)), [], []
-            for i, (s, e) in enumerate(zip([0, *ends], ends)):
-                if i in marks:
-                    apart[i] = 1
-                    if marks[i]:
-                        shared.append({"digest": d[16 * i : 16 * i + 16], "data": _pack(raw[4 * s : 4 * e])})
-                else:
-                    inline.append(raw[4 * s : 4 * e])
+            chunks = len(d) // 16
+            apart, shared = bytearray(chunks), []
+            if marks:
+                raw, inline, s = _unpack(ids), [], 0
+                for i, e in enumerate(np.frombuffer(ends, "<i8").tolist()):
+                    if i not in marks:
+                        inline.append(raw[4 * s : 4 * e])
+                    else:
+                        apart[i] = 1
+                        if marks[i]:
+                            shared.append({"digest": d[16 * i : 16 * i + 16], "data": _pack(raw[4 * s : 4 * e])})
+                    s = e
+                ids = _pack(b"".join(inline))
             root = merkle([d[i : i + 16] for i in range(0, len(d), 16)])
-            out.append({"segment": segment, "doc_id": r["doc_id"], "row": r["row"], "seg_start": start, "n_tokens": r["n_tokens"], "recipe": d, "ends": r["ends"], "apart": bytes(apart), "inline": _pack(b"".join(inline)), "shared": shared, "root": root})
-            start, marks = start + r["n_tokens"], {}
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=_STORED)
+            for to, x in zip(out, (segment, doc, row, start, n, d, ends, bytes(apart), ids, shared, root)):
+                to.append(x)
+            start, marks = start + n, {}
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _STORED)], schema=_STORED)
 
 
 def _manifest_rows(batches):
-    """One line for each segment; a segment is one file, read in its order."""
+    """One line for each segment, whose documents come in their order: -1 tokens if one doesn't start where the one before it ends."""
     lines: dict[int, list] = {}
     for b in batches:
-        for r in b.to_pylist():
-            line = lines.setdefault(r["segment"], [0, 0, hashlib.blake2b(digest_size=16)])
-            line[0] += 1
-            line[1] += r["n_tokens"]
-            line[2].update(r["root"])
+        for segment, doc, start, n, root in zip(*(b[c].to_pylist() for c in ("segment", "doc_id", "seg_start", "n_tokens", "root"))):
+            line = lines.setdefault(segment, [0, []])
+            line[0] = line[0] + n if line[0] == start else -1
+            line[1].append(digest(b"%d:" % doc + root if doc is not None else root))
     keys = sorted(lines)
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([lines[k][0] for k in keys], pa.int64()), pa.array([lines[k][1] for k in keys], pa.int64()), pa.array([lines[k][2].digest() for k in keys], pa.binary())], names=["segment", "n_docs", "n_tokens", "root"])
+    cols = [pa.array(keys, pa.int32()), pa.array([len(lines[k][1]) for k in keys], pa.int64()), pa.array([lines[k][0] for k in keys], pa.int64()), pa.array([merkle(lines[k][1]) for k in keys], pa.binary())]
+    yield pa.RecordBatch.from_arrays(cols, names=["segment", "n_docs", "n_tokens", "root"])
+
+
+def _manifest(stored: DataFrame) -> DataFrame:
+    parts = stored.select("segment", "doc_id", "seg_start", "n_tokens", "root").repartition("segment").sortWithinPartitions("segment", "seg_start")
+    return parts.mapInArrow(_manifest_rows, "segment int, n_docs long, n_tokens long, root binary")
+
+
+def _top(lines: list) -> tuple:
+    """Numbers of segments, documents and tokens, and the Merkle root, of manifest lines in their order."""
+    return len(lines), sum(x["n_docs"] for x in lines), sum(x["n_tokens"] for x in lines), merkle([bytes(x["root"]) for x in lines])
 
 
 def write_store(docs: DataFrame, path: str, vocab: str = "byte_bpe_50k.json", end_id: int = END_ID, scratch: Scratch | None = None) -> None:
@@ -180,7 +186,8 @@ def write_store(docs: DataFrame, path: str, vocab: str = "byte_bpe_50k.json", en
     scratch = scratch or Scratch(spark, "token-store")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
     coded = scratch.keep(rows.mapInArrow(_encode_rows(vocab, end_id), "doc_id long, row long, n_tokens long, digests binary, ends binary, ids binary"), "coded")
-    places = coded.select("row", "doc_id", "digests").mapInArrow(_digest_rows, "row long, doc_id long, pos int, digest binary")
+    each = F.expr("transform(sequence(0, length(digests) div 16 - 1), i -> substring(digests, cast(16 * i + 1 as int), 16))")
+    places = coded.select("row", "doc_id", F.posexplode(each).alias("pos", "digest"))
     place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "row", "pos")
     places = places.withColumn("at", place)
     owners = places.groupBy("digest").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -191,39 +198,57 @@ def write_store(docs: DataFrame, path: str, vocab: str = "byte_bpe_50k.json", en
     both = lists.union(whole).repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row", "kind")
     both.mapInArrow(_store_rows, _STORED_SQL).write.mode("overwrite").option("compression", "none").parquet(f"{path}/documents")
     stored = spark.read.parquet(f"{path}/documents")
-    parts = stored.select("segment", "seg_start", "n_tokens", "root").repartition("segment").sortWithinPartitions("segment", "seg_start")
-    lines = parts.select("segment", "n_tokens", "root").mapInArrow(_manifest_rows, "segment int, n_docs long, n_tokens long, root binary")
     # one line for each file: their number is that of the tasks, not of the rows
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines.withColumn("seg_base", before).write.mode("overwrite").parquet(f"{path}/manifest")
+    lines = sorted(_manifest(stored).collect(), key=lambda x: x["segment"])
+    base, rows = 0, []
+    for x in lines:
+        rows.append((*x, base))
+        base += x["n_tokens"]
+    spark.createDataFrame(rows, "segment int, n_docs long, n_tokens long, root binary, seg_base long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    spark.createDataFrame([_top(lines)], "n_segments long, n_docs long, n_tokens long, root binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/top")
     scratch.drop("coded")
 
 
+def verify(spark, path: str) -> None:
+    """Raises ValueError unless the store's documents are those of its manifest, and its lines those of the top line."""
+    lines = sorted(spark.read.parquet(f"{path}/manifest").collect(), key=lambda x: x["segment"])
+    top = [(x["n_segments"], x["n_docs"], x["n_tokens"], bytes(x["root"])) for x in spark.read.parquet(f"{path}/top").collect()]
+    if top != [_top(lines)]:
+        raise ValueError("the manifest doesn't match the top line")
+    if [x["seg_base"] for x in lines] != [sum(x["n_tokens"] for x in lines[:k]) for k in range(len(lines))]:
+        raise ValueError("the segments don't start where those before them end")
+    found = {tuple(x) for x in _manifest(spark.read.parquet(f"{path}/documents")).collect()}
+    wrong = {tuple(x)[:4] for x in lines} ^ found
+    if wrong:
+        raise ValueError(f"segments {sorted({x[0] for x in wrong})}: documents are missing, repeated, moved or changed")
+
+
 def _read_rows(batches):
     """Rebuild each document from its chunks and hold it against its recipe and root."""
     schema = pa.schema([("doc_id", pa.int64()), ("segment", pa.int32()), ("seg_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     for b in batches:
         out = []
-        for r in b.to_pylist():
-            d, inline, at, parts = r["recipe"], _unpack(r["inline"]), 0, []
-            lent = {x["digest"]: x["data"] for x in r["lent"] or []}
-            ends = np.frombuffer(r["ends"], "<i8").tolist()
-            for i, (s, e) in enumerate(zip([0, *ends], ends)):
-                want = d[16 * i : 16 * i + 16]
-                if r["apart"][i]:
-                    chunk = _unpack(lent[want])
-                else:
-                    chunk, at = inline[at : at + 4 * (e - s)], at + 4 * (e - s)
-                if digest(chunk) != want:
-                    raise ValueError(f"document {r['doc_id']}: chunk {i} doesn't match its digest")
-                parts.append(chunk)
-            if merkle([d[i : i + 16] for i in range(0, len(d), 16)]) != r["root"]:
-                raise ValueError(f"document {r['doc_id']}: its recipe doesn't match its root")
-            out.append({k: r[k] for k in ("doc_id", "segment", "seg_start", "n_tokens")} | {"ids": b"".join(parts)})
+        for doc, d, ends, apart, inline, root, lent in zip(*(b[c].to_pylist() for c in ("doc_id", "recipe", "ends", "apart", "inline", "root", "lent"))):
+            ids, ends = _unpack(inline), np.frombuffer(ends, "<i8").tolist()
+            if lent is not None:
+                lent, at, s, parts = {x["digest"]: x["data"] for x in lent}, 0, 0, []
+                for i, e in enumerate(ends):
+                    if apart[i]:
+                        if d[16 * i : 16 * i + 16] not in lent:
+                            raise ValueError(f"document {doc}: chunk {i} is missing")
+                        parts.append(_unpack(lent[d[16 * i : 16 * i + 16]]))
+                    else:
+                        parts.append(ids[at : at + 4 * (e - s)])
+                        at += 4 * (e - s)
+                    s = e
+                ids = b"".join(parts)
+            if b"".join(digest(ids[4 * s : 4 * e]) for s, e in zip([0, *ends], ends)) != d or len(ids) != 4 * ends[-1]:
+                raise ValueError(f"document {doc}: a chunk doesn't match its digest")
+            if merkle([d[i : i + 16] for i in range(0, len(d), 16)]) != root:
+                raise ValueError(f"document {doc}: its recipe doesn't match its root")
+            out.append(ids)
         if out:
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            yield pa.RecordBatch.from_arrays([*(b[c].cast(schema.field(c).type) for c in schema.names[:4]), pa.array(out, pa.binary())], schema=schema)
 
 
 def _apart_rows(batches):
@@ -238,7 +263,11 @@ def _apart_rows(batches):
 
 
 def read_store(spark, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document, rebuilt and verified; ids: little-endian 32-bit."""
+    """(doc_id, start, n_tokens, ids) of every document, rebuilt and verified; ids: little-endian 32-bit.
+
+    Raises ValueError if documents and manifest differ, at once, and if chunks do, when the rows are read.  An empty store gives
+    no rows; a null doc_id comes back as null; extra columns of the documents aren't stored."""
+    verify(spark, path)
     stored = spark.read.parquet(f"{path}/documents")
     lines = spark.read.parquet(f"{path}/manifest").select("segment", "seg_base")
     chunks = stored.select(F.explode("shared").alias("c")).select("c.digest", "c.data")
@@ -246,7 +275,8 @@ def read_store(spark, path: str) -> DataFrame:
     wanted = stored.where(lack).select("row", "recipe", "apart").mapInArrow(_apart_rows, "row long, digest binary")
     lent = wanted.join(chunks, "digest").groupBy("row").agg(F.collect_list(F.struct("digest", "data")).alias("lent"))
     cols = ["doc_id", "segment", "seg_start", "n_tokens", "recipe", "ends", "apart", "inline", "root"]
-    some = stored.where(lack).select("row", *cols).join(lent, "row").select(*cols, "lent")
+    # a document none of whose chunks is found keeps its place, so that its lack is noticed
+    some = stored.where(lack).select("row", *cols).join(lent, "row", "left").select(*cols, F.coalesce("lent", F.array().cast(lent.schema["lent"].dataType)).alias("lent"))
     rest = stored.where(~lack).select(*cols, F.lit(None).cast("array<struct<digest:binary,data:binary>>").alias("lent"))
     docs = rest.union(some).mapInArrow(_read_rows, "doc_id long, segment int, seg_start long, n_tokens long, ids binary")
     return docs.join(F.broadcast(lines), "segment").select("doc_id", (F.col("seg_base") + F.col("seg_start")).alias("start"), "n_tokens", "ids")

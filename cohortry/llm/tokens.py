@@ -7,6 +7,7 @@ the pieces' ids.  Texts whose white space makes those cuts unsafe are encoded wh
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -18,8 +19,10 @@ MEMORY = 300_000
 _SPACED = re.compile(r"\s ")
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-#: Letters, and marks that end a word: two pre-tokens at most.
-_WORD = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
+#: Letters, and marks that end a word: two pre-tokens.
+_WORD = re.compile(r"""([^\W\d_]+)([!"#$%&()*+,\-./:;<=>?@\[\\\]^`{|}~]+)""")
+#: Pieces in one call to the library.
+JOINED = 4096
 _encoders: dict[str, Encoder] = {}
 
 
@@ -39,6 +42,16 @@ def encoder(name: str) -> Encoder:
     return _encoders[name]
 
 
+def cuts_are_safe(model) -> bool:
+    """Whether texts may be cut before a space that follows no white space, and between letters and the marks behind them: a plain
+    byte-level pre-tokenizer, nothing before it, and no added token that could lie across a cut or take up spaces."""
+    pre = json.loads(model.pre_tokenizer.__getstate__()) if model.pre_tokenizer else {}
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space", True) or not pre.get("use_regex", True) or model.normalizer is not None:
+        return False
+    mixed = re.compile(f"[^\\W\\d_]*(?:{_WORD.pattern})?|{_WORD.pattern.partition(')')[2]}")
+    return not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) or mixed.fullmatch(t.content) for t in model.get_added_tokens_decoder().values())
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, without added special tokens."""
 
@@ -63,22 +76,21 @@ class Encoder:
             self.many = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
             self.offsets = lambda text: model.encode(text, add_special_tokens=False)
             self.model = model
-            self.by_piece = "ByteLevel(add_prefix_space=False" in str(model.pre_tokenizer) and model.normalizer is None
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of a space and letters each: such a piece is one pre-token, so the model gets it ready-made."""
-        if not hasattr(self, "width"):
-            from tokenizers import Tokenizer
-
-            vocab = self.model.get_vocab()
-            self.width = np.zeros(max(vocab.values()) + 1, np.int64)
-            self.width[list(vocab.values())] = [len(t) for t in vocab]  # one character stands for one byte
-            plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
-            self.bare = Tokenizer(self.model.model)
-        seen = [(" " + w).encode().decode("latin-1").translate(self.letters) for w in words]
-        ids = np.array(self.bare.encode_batch_fast([seen], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p) for p in seen])) + 1
+            self.by_piece = cuts_are_safe(model)
+            if self.by_piece:
+                vocab = model.get_vocab(with_added_tokens=False)
+                self.width = np.zeros(1 + max([*vocab.values(), *model.get_added_tokens_decoder()]), np.int64)
+                self.width[list(vocab.values())] = [len(t) for t in vocab]  # one character stands for one byte
+                for k, t in model.get_added_tokens_decoder().items():
+                    self.width[k] = len(t.content.encode())
+
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that begin with the space that is put before them here and end in no white space: no pre-token spans
+        two of them, so the library gets them in one text and the ids' widths tell where each ends."""
+        text = " " + " ".join(pieces)
+        ids = np.array(self.many([text])[0], "<u4")
+        size = np.array([len(p) for p in pieces] if text.isascii() else [len(p.encode()) for p in pieces])
+        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size + 1)) + 1
         raw, out, lo = ids.tobytes(), [], 0
         for hi in (4 * ends).tolist():
             out.append(raw[lo:hi])
@@ -99,21 +111,19 @@ class Encoder:
         memory.update(zip(again, map(older.__getitem__, again)))
         missing.difference_update(again)
         if lead and missing:
-            alone, cut = [p for p in missing if p.isalpha()], []
-            have = {*alone}
-            for p in missing:
-                if p not in have and (m := _WORD.fullmatch(p)):
-                    cut.append((p, *m.groups()))
-            stems = {w for _, w, _ in cut}.difference(memory) - have
+            cut = [(m[0], *m.groups()) for m in map(_WORD.fullmatch, missing) if m]
+            missing.difference_update(p for p, _, _ in cut)
+            stems = {w for _, w, _ in cut}.difference(memory)
             taken = [w for w in stems if w in older]
             memory.update(zip(taken, map(older.__getitem__, taken)))
-            alone += stems.difference(taken)
-            for lo in range(0, len(alone), 4096):
-                memory.update(zip(alone[lo : lo + 4096], self._words(alone[lo : lo + 4096])))
+            alone = [p for p in missing if p and not p[-1].isspace()]
+            missing.difference_update(alone)
+            alone += stems.difference(taken, alone)
+            for lo in range(0, len(alone), JOINED):
+                memory.update(zip(alone[lo : lo + JOINED], self._joined(alone[lo : lo + JOINED])))
             self._learn(self.known, {tail for _, _, tail in cut}, "")
             known = self.known
             memory.update((p, memory[w] + known[tail]) for p, w, tail in cut)
-            missing = missing.difference(memory)
         rest = list(missing)
         memory.update(zip(rest, self._bytes([lead + p for p in rest])))
 

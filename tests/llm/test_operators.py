@@ -135,7 +135,7 @@ def test_token_store_round_trip(spark, odd):
     more = spark.createDataFrame([(100 + i, prose(50, i) + " " + shared + " " + prose(50, i + 50)) for i in range(6)], "doc_id long, text string")
     docs = odd.select("doc_id", "text").union(more)
     scratch = Scratch(spark, "test")
-    token_store.write_store(docs, scratch.path("store"), scratch=scratch)
+    token_store.write_store(docs.withColumns({"segment": F.lit("clash"), "recipe": F.lit(None)}), scratch.path("store"), scratch=scratch)
     got = sorted(token_store.read_store(spark, scratch.path("store")).collect(), key=lambda r: r["start"])
     ref, at = encoder(), 0
     rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
@@ -161,6 +161,32 @@ def test_token_store_notices_damage():
         list(token_store._read_rows([pa.RecordBatch.from_pylist([row])]))
 
 
+def test_token_store_notices_lost_moved_and_repeated_documents(spark, odd):
+    scratch = Scratch(spark, "test")
+    token_store.write_store(odd.select("text", "n", "doc_id"), scratch.path("store"), scratch=scratch)
+    parts = {p: spark.read.parquet(scratch.path(f"store/{p}")) for p in ("documents", "manifest", "top")}
+    docs = parts["documents"]
+    one, two = F.col("doc_id") == 5, F.col("doc_id") == 7
+    swapped = F.when(one, 7).when(two, 5).otherwise(F.col("doc_id")).cast("long")
+    bad = {
+        "lost": {"documents": docs.where(~one | F.col("doc_id").isNull())},
+        "repeated": {"documents": docs.union(docs.where(one))},
+        "swapped": {"documents": docs.withColumn("doc_id", swapped)},
+        "segment": {"manifest": parts["manifest"].orderBy("segment").limit(parts["manifest"].count() - 1)},
+        "nothing": {"documents": docs.limit(0)},
+    }
+    for name, change in bad.items():
+        for p, df in (parts | change).items():
+            df.write.mode("overwrite").parquet(scratch.path(f"{name}/{p}"))
+        with pytest.raises(ValueError):
+            token_store.read_store(spark, scratch.path(name))
+    lost = docs.withColumn("shared", F.array().cast(docs.schema["shared"].dataType))
+    for p, df in (parts | {"documents": lost}).items():
+        df.write.mode("overwrite").parquet(scratch.path(f"chunks/{p}"))
+    with pytest.raises(Exception, match="is missing"):
+        token_store.read_store(spark, scratch.path("chunks")).collect()
+
+
 def test_cutting_stock_meets_demand():
     for seed in range(8):
         r = np.random.default_rng(seed)
