@@ -29,8 +29,10 @@ SHORT_CHARS, NEAR_CHARS = 20, 40
 SHORT_EDITS, EDITS = 1, 2
 #: Lines that share a key with more others are cut on, into so many pieces, so often at most; after that a key's lines
 #: outside its largest class are compared with all of them.
-HOT, PIECES, DEPTH = 16, 5, 3
-#: Digests are sent to all executors only if there are at most so many.
+HOT, PIECES, DEPTH = 16, 5, 6
+#: Lines aren't cut on where those that share a key are fewer than this in the mean of all lines.
+WIDE = 256
+#: Digests, or documents that lose lines (ten lines each in the mean), are sent to all executors only if there are at most so many.
 BROADCAST_IDS = 200_000
 
 
@@ -168,6 +170,15 @@ def _linked(pairs: DataFrame, lines: DataFrame, edits: int, near_chars: int, scr
     return links
 
 
+def _rest(held: DataFrame, lines: DataFrame, edits: int, near_chars: int, scratch: Scratch) -> DataFrame:
+    """Links of each key's lines outside its largest class with all that share it."""
+    held = held.groupBy("key", "id", "root").agg(F.max("own").alias("own"), F.first("bag").alias("bag"))
+    main = held.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+    odd = held.join(main, "key").where("root <> main").select("key", F.col("id").alias("other"), F.col("root").alias("r2"), F.col("own").alias("own2"), F.col("bag").alias("bag2"))
+    rest = held.join(odd, "key").where("root <> r2 AND (own OR own2)").where(near_bags("bag", "bag2", f"{edits}"))
+    return _linked(rest.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")), lines, edits, near_chars, scratch, "links-rest")
+
+
 def near_links(lines: DataFrame, edits: int, short_chars: int, near_chars: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) of digests that join all lines (id, digest, line, n) which are near, directly or through others."""
     if edits not in (0, 1, 2):
@@ -200,19 +211,16 @@ def near_links(lines: DataFrame, edits: int, short_chars: int, near_chars: int,
         scratch.drop(f"met-{depth}")
         if held.isEmpty():
             break
+        per = held.groupBy("key").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("pairs"), F.sum("k").alias("rows")).head()
+        if depth == DEPTH or depth and per["pairs"] <= WIDE * per["rows"]:
+            links = links.union(_rest(held, lines, edits, near_chars, scratch))
+            break
         if depth == 0:
             again = lines.join(held.select("id").distinct(), "id")
             part = seeds(again, edits, short_chars, near_chars).join(again.select("id", bag("line").alias("bag")), "id")
         else:
             part = held.select(F.col("key").alias("g"), "id", "equal", "own", "bag", "rest", "n", "t", "d")
-        if depth < DEPTH:
-            keyed = scratch.keep(pieces(part, edits), f"keyed-{depth + 1}")
-    else:  # still hot after all cuts
-        held = held.groupBy("key", "id", "root").agg(F.max("own").alias("own"), F.first("bag").alias("bag"))
-        main = held.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-        odd = held.join(main, "key").where("root <> main").select("key", F.col("id").alias("other"), F.col("root").alias("r2"), F.col("own").alias("own2"), F.col("bag").alias("bag2"))
-        rest = held.join(odd, "key").where("root <> r2 AND (own OR own2)").where(near_bags("bag", "bag2", f"{edits}")).select(*a_b)
-        links = links.union(_linked(rest, lines, edits, near_chars, scratch, "links-rest"))
+        keyed = scratch.keep(pieces(part, edits), f"keyed-{depth + 1}")
     return links
 
 
@@ -243,11 +251,15 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, short_chars: int = SHORT_CH
     scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
     classes = scratch.keep(line_classes(docs, edits, short_chars, near_chars, scratch), "classes")
     scratch.drop("lines")
-    again = _lines(docs).select("d", "rid", "no", "digest").join(classes, "digest")
+    few = classes.count() <= BROADCAST_IDS
+    again = _lines(docs).select("d", "rid", "no", "digest").join(F.broadcast(classes) if few else classes, "digest")
     same = F.col("d").eqNullSafe(F.col("first.d")) & (F.col("rid") == F.col("first.rid")) & (F.col("no") == F.col("first.no"))
     drops = scratch.keep(again.where(~same).groupBy("d", "rid").agg(F.collect_set("no").alias("__drops")), "drops")
+    size = drops.agg(F.count("*").alias("docs"), F.sum(F.size("__drops")).alias("lines")).head()
+    few = size["docs"] <= BROADCAST_IDS and (size["lines"] or 0) <= 10 * BROADCAST_IDS
     keyed = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
-    hit = keyed.join(drops.withColumnsRenamed({"d": "__d", "rid": "__r"}), (F.col("__rid") == F.col("__r")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left")
+    drops = drops.withColumnsRenamed({"d": "__d", "rid": "__r"})
+    hit = keyed.join(F.broadcast(drops) if few else drops, (F.col("__rid") == F.col("__r")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left")
     parts = F.split("text", "\n")
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__drops"), lambda i: F.get(parts, i)), "\n")
     n_dropped = F.when(F.col("__drops").isNull(), 0).otherwise(F.size("__drops"))

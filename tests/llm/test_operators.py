@@ -158,7 +158,7 @@ def test_token_store_notices_damage():
     raw = np.arange(10, dtype="<u4").tobytes()
     row = {"doc_id": 1, "segment": 0, "seg_start": 0, "n_tokens": 10, "recipe": token_store.digest(b"other"), "ends": np.array([10], "<i8").tobytes(), "apart": b"\0", "inline": token_store._pack(raw), "root": b"", "lent": None}
     with pytest.raises(ValueError, match="digest"):
-        list(token_store._read_rows([pa.RecordBatch.from_pylist([row])]))
+        list(token_store._read_rows()([pa.RecordBatch.from_pylist([row])]))
 
 
 def test_token_store_notices_lost_moved_and_repeated_documents(spark, odd):
@@ -444,10 +444,11 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("hot, depth, short_chars, near_chars", [(16, 5, 20, 40), (3, 2, 20, 40), (2, 1, 4, 20)])
-def test_line_dedup_of_short_lines_equals_brute_force(spark, monkeypatch, hot, depth, short_chars, near_chars):
+@pytest.mark.parametrize("hot, depth, wide, short_chars, near_chars", [(16, 6, 256, 20, 40), (3, 2, 0, 20, 40), (2, 1, 8, 4, 20)])
+def test_line_dedup_of_short_lines_equals_brute_force(spark, monkeypatch, hot, depth, wide, short_chars, near_chars):
     monkeypatch.setattr(line_dedup, "HOT", hot)
     monkeypatch.setattr(line_dedup, "DEPTH", depth)
+    monkeypatch.setattr(line_dedup, "WIDE", wide)
     r, docs = random.Random(8), []
     bases = [(prose(20, 300 + n)[: n - 1] + ".") for n in (1, 2, 5, 12, 19, 20, 21, 22, 30, 38, 39, 40, 41, 42) for _ in range(2)] + ["Licensed under CC BY-NC 4.0.", "}"]
     for i in range(90):
