@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +22,7 @@ def op1_near_duplicates(spark, sf_dir):
 def op2_token_store(spark, sf_dir):
     scratch = Scratch(spark, "op2")
     token_store.write_store(table(spark, sf_dir, "documents"), scratch.path("store"), scratch=scratch)
-    read = token_store.read_store(spark, scratch.path("store"))
-    return read.mapInArrow(token_store.crc_rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return token_store.read_store(spark, scratch.path("store"), of=zlib.crc32).withColumnRenamed("ids", "ids_crc32")
 
 
 def op3_url_filter(spark, sf_dir):

@@ -15,7 +15,7 @@ shared, root), ``manifest/`` (segment, n_docs, n_tokens, root, seg_base) and ``t
 from __future__ import annotations
 
 import hashlib
-import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -191,7 +191,9 @@ def write_store(docs: DataFrame, path: str, vocab: str = "byte_bpe_50k.json", en
     place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "row", "pos")
     places = places.withColumn("at", place)
     owners = places.groupBy("digest").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # kept, since dealing by range reads its input twice
     marks = places.join(owners, "digest").groupBy("row", "doc_id").agg(F.collect_list(F.struct("pos", (F.col("at") == F.col("first")).alias("owner"))).alias("marks"))
+    marks = scratch.keep(marks, "marks")
     none = lambda t: F.lit(None).cast(t)
     lists = marks.select("doc_id", "row", F.lit(0).alias("kind"), "marks", none("long").alias("n_tokens"), *(none("binary").alias(c) for c in ("digests", "ends", "ids")))
     whole = coded.select("doc_id", "row", F.lit(1).alias("kind"), none("array<struct<pos:int,owner:boolean>>").alias("marks"), "n_tokens", "digests", "ends", "ids")
@@ -207,6 +209,7 @@ def write_store(docs: DataFrame, path: str, vocab: str = "byte_bpe_50k.json", en
     spark.createDataFrame(rows, "segment int, n_docs long, n_tokens long, root binary, seg_base long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
     spark.createDataFrame([_top(lines)], "n_segments long, n_docs long, n_tokens long, root binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/top")
     scratch.drop("coded")
+    scratch.drop("marks")
 
 
 def verify(spark, path: str) -> None:
@@ -223,32 +226,37 @@ def verify(spark, path: str) -> None:
         raise ValueError(f"segments {sorted({x[0] for x in wrong})}: documents are missing, repeated, moved or changed")
 
 
-def _read_rows(batches):
-    """Rebuild each document from its chunks and hold it against its recipe and root."""
-    schema = pa.schema([("doc_id", pa.int64()), ("segment", pa.int32()), ("seg_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    for b in batches:
-        out = []
-        for doc, d, ends, apart, inline, root, lent in zip(*(b[c].to_pylist() for c in ("doc_id", "recipe", "ends", "apart", "inline", "root", "lent"))):
-            ids, ends = _unpack(inline), np.frombuffer(ends, "<i8").tolist()
-            if lent is not None:
-                lent, at, s, parts = {x["digest"]: x["data"] for x in lent}, 0, 0, []
-                for i, e in enumerate(ends):
-                    if apart[i]:
-                        if d[16 * i : 16 * i + 16] not in lent:
-                            raise ValueError(f"document {doc}: chunk {i} is missing")
-                        parts.append(_unpack(lent[d[16 * i : 16 * i + 16]]))
-                    else:
-                        parts.append(ids[at : at + 4 * (e - s)])
-                        at += 4 * (e - s)
-                    s = e
-                ids = b"".join(parts)
-            if b"".join(digest(ids[4 * s : 4 * e]) for s, e in zip([0, *ends], ends)) != d or len(ids) != 4 * ends[-1]:
-                raise ValueError(f"document {doc}: a chunk doesn't match its digest")
-            if merkle([d[i : i + 16] for i in range(0, len(d), 16)]) != root:
-                raise ValueError(f"document {doc}: its recipe doesn't match its root")
-            out.append(ids)
-        if out:
-            yield pa.RecordBatch.from_arrays([*(b[c].cast(schema.field(c).type) for c in schema.names[:4]), pa.array(out, pa.binary())], schema=schema)
+def _read_rows(of=None):
+    """Rebuild each document from its chunks and hold it against its recipe and root; ids, or what of makes of them."""
+    kind = pa.int64() if of else pa.binary()
+    schema = pa.schema([("doc_id", pa.int64()), ("segment", pa.int32()), ("seg_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", kind)])
+
+    def rows(batches):
+        for b in batches:
+            out = []
+            for doc, d, ends, apart, inline, root, lent in zip(*(b[c].to_pylist() for c in ("doc_id", "recipe", "ends", "apart", "inline", "root", "lent"))):
+                ids, ends = _unpack(inline), np.frombuffer(ends, "<i8").tolist()
+                if lent is not None:
+                    lent, at, s, parts = {x["digest"]: x["data"] for x in lent}, 0, 0, []
+                    for i, e in enumerate(ends):
+                        if apart[i]:
+                            if d[16 * i : 16 * i + 16] not in lent:
+                                raise ValueError(f"document {doc}: chunk {i} is missing")
+                            parts.append(_unpack(lent[d[16 * i : 16 * i + 16]]))
+                        else:
+                            parts.append(ids[at : at + 4 * (e - s)])
+                            at += 4 * (e - s)
+                        s = e
+                    ids = b"".join(parts)
+                if b"".join(digest(ids[4 * s : 4 * e]) for s, e in zip([0, *ends], ends)) != d or len(ids) != 4 * ends[-1]:
+                    raise ValueError(f"document {doc}: a chunk doesn't match its digest")
+                if merkle([d[i : i + 16] for i in range(0, len(d), 16)]) != root:
+                    raise ValueError(f"document {doc}: its recipe doesn't match its root")
+                out.append(of(ids) if of else ids)
+            if out:
+                yield pa.RecordBatch.from_arrays([*(b[c].cast(schema.field(c).type) for c in schema.names[:4]), pa.array(out, kind)], schema=schema)
+
+    return rows
 
 
 def _apart_rows(batches):
@@ -262,8 +270,8 @@ def _apart_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, pa.binary())], schema=schema)
 
 
-def read_store(spark, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document, rebuilt and verified; ids: little-endian 32-bit.
+def read_store(spark, path: str, of: Callable[[bytes], int] | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document, rebuilt and verified; ids: little-endian 32-bit, or the number that of makes of them.
 
     Raises ValueError if documents and manifest differ, at once, and if chunks do, when the rows are read.  An empty store gives
     no rows; a null doc_id comes back as null; extra columns of the documents aren't stored."""
@@ -278,12 +286,5 @@ def read_store(spark, path: str) -> DataFrame:
     # a document none of whose chunks is found keeps its place, so that its lack is noticed
     some = stored.where(lack).select("row", *cols).join(lent, "row", "left").select(*cols, F.coalesce("lent", F.array().cast(lent.schema["lent"].dataType)).alias("lent"))
     rest = stored.where(~lack).select(*cols, F.lit(None).cast("array<struct<digest:binary,data:binary>>").alias("lent"))
-    docs = rest.union(some).mapInArrow(_read_rows, "doc_id long, segment int, seg_start long, n_tokens long, ids binary")
+    docs = rest.union(some).mapInArrow(_read_rows(of), f"doc_id long, segment int, seg_start long, n_tokens long, ids {'long' if of else 'binary'}")
     return docs.join(F.broadcast(lines), "segment").select("doc_id", (F.col("seg_base") + F.col("seg_start")).alias("start"), "n_tokens", "ids")
-
-
-def crc_rows(batches):
-    """ids replaced by their crc32."""
-    for b in batches:
-        crc = pa.array([zlib.crc32(x.as_py()) for x in b["ids"]], pa.int64())
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["start"], b["n_tokens"], crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
