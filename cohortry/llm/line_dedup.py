@@ -158,7 +158,8 @@ def _linked(pairs: DataFrame, lines: DataFrame, edits: int, near_chars: int, scr
     pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
     ids = scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
     few = ids.count() <= BROADCAST_IDS
-    texts = scratch.keep(lines.select("id", "digest", "line", bag("line").alias("bag")).join(F.broadcast(ids) if few else ids, "id"), f"{name}-texts")
+    texts = scratch.keep(lines.select("id", "digest", "line").join(F.broadcast(ids) if few else ids, "id"), f"{name}-texts")
+    texts = texts.withColumn("bag", bag("line"))
     both = pairs.join(texts.toDF("a", "da", "la", "ba"), "a").join(texts.toDF("b", "db", "lb", "bb"), "b")
     both = both.withColumn("long", F.least(F.length("la"), F.length("lb")) >= near_chars)
     near = both.where(near_bags("ba", "bb", f"if(long, {edits}, {short})")).where(F.when(F.col("long"), near_pieces("la", "lb", edits)).otherwise(near_pieces("la", "lb", short)))
@@ -257,10 +258,10 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, short_chars: int = SHORT_CH
     drops = scratch.keep(again.where(~same).groupBy("d", "rid").agg(F.collect_set("no").alias("__drops")), "drops")
     size = drops.agg(F.count("*").alias("docs"), F.sum(F.size("__drops")).alias("lines")).head()
     few = size["docs"] <= BROADCAST_IDS and (size["lines"] or 0) <= 10 * BROADCAST_IDS
-    keyed = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumns({"__rid": F.xxhash64("doc_id", "text"), "__parts": F.split("text", "\n")})
     drops = drops.withColumnsRenamed({"d": "__d", "rid": "__r"})
     hit = keyed.join(F.broadcast(drops) if few else drops, (F.col("__rid") == F.col("__r")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left")
-    parts = F.split("text", "\n")
+    parts = F.col("__parts")  # a column, so that no line's place is sought in a text split anew
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__drops"), lambda i: F.get(parts, i)), "\n")
     n_dropped = F.when(F.col("__drops").isNull(), 0).otherwise(F.size("__drops"))
     out = hit.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"), "n_dropped": n_dropped.cast("long"), "text": F.when(F.col("__drops").isNull(), F.col("text")).otherwise(kept)})
