@@ -256,22 +256,19 @@ def chosen_paths(classes: DataFrame, scratch: Scratch, threshold: float = 0.8) -
     leaders (cid, leader, level): for members of the larger nodes at every level one of them, in parts."""
     two = second_share(threshold)
     rows = classes.select("cid", F.explode(F.sequence(F.lit(1), F.lit(trees_for(threshold)))).alias("tree"), "sig").select("cid", "sig", F.expr("xxhash64(tree, 77)").alias("path"))
-    found, leaders = None, None
     for level in range(1, LEVELS + 1):
         rows = rows.select("cid", "path", F.explode(_chosen("path", "sig", two)).alias("c")).select("cid", F.expr(f"xxhash64(path, c.k, c.v, {level})").alias("path"))
         sizes = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        last = level == LEVELS
-        rows = scratch.keep(rows.join(sizes, "path").select("path", "cid", "n"), f"level-{level}")
-        leaves = rows if last else rows.where(F.col("n") <= LEAF)
+        rows = scratch.keep(rows.join(sizes, "path").select("path", "cid", "n", F.lit(level).alias("level")), f"level-{level}")
         large = rows.where(F.col("n") > LEAF)
-        parts = large.select("path", F.expr(f"pmod(xxhash64(path, cid), ceil(n / {PART}))").alias("part"), "cid")
-        lead = parts.groupBy("path", "part").agg(F.min_by("cid", F.xxhash64("cid", "path")).alias("leader"))
-        under = parts.join(lead, ["path", "part"]).where("cid <> leader").select("cid", "leader", F.lit(level).alias("level"))
-        found, leaders = (leaves, under) if found is None else (found.union(leaves), leaders.union(under))
-        if last or large.isEmpty():
+        if level == LEVELS or large.isEmpty():
             break
         rows = large.select("cid", "path").join(classes.select("cid", "sig"), "cid")
-    return found, leaders
+    every = scratch.spark.read.schema(large.schema).parquet(*(scratch.path(f"level-{k}") for k in range(1, level + 1)))
+    parts = every.where(F.col("n") > LEAF).select("path", F.expr(f"pmod(xxhash64(path, cid), ceil(n / {PART}))").alias("part"), "cid", "level")
+    lead = parts.groupBy("path", "part").agg(F.min_by("cid", F.xxhash64("cid", "path")).alias("leader"))
+    leaders = parts.join(lead, ["path", "part"]).where("cid <> leader").select("cid", "leader", "level")
+    return every.where(f"n <= {LEAF} OR level = {LEVELS}").select("path", "cid", "n"), leaders
 
 
 def _sets(ids: DataFrame, classes: DataFrame, texts: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
@@ -352,14 +349,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     threshold, args = num / den, (classes, texts.select("tkey", "text"), width, num, den, scratch)
     least = least_agree(threshold)
     nodes, leaders = chosen_paths(classes, scratch, threshold)
-    nodes = scratch.keep(nodes, "nodes")
     deepest = leaders.groupBy("cid").agg(F.expr(f"slice(reverse(array_sort(collect_set(struct(level, leader)))), 1, {LEADERS})").alias("l"))
     lead = deepest.select("cid", F.explode("l.leader").alias("leader")).select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct()
     of = lambda c, s: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(s))
     sized = lead.join(of("a", "sa"), "a").join(of("b", "sb"), "b").where(F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)"))
     lead = scratch.keep(sized.select("a", "b", "sa", "sb").mapInArrow(_agree_rows(least), "a binary, b binary, agree int"), "lead")
-    for level in range(1, LEVELS + 1):
-        scratch.drop(f"level-{level}")
     leaf = nodes.where(F.col("n") <= LEAF).join(classes.select("cid", "n_shingles", "sketch"), "cid").groupBy("path").agg(F.collect_list(F.struct("cid", "n_shingles", "sketch")).alias("x"))
     near = scratch.keep(leaf.select("x").mapInArrow(_leaf_rows(num, den, least), "a binary, b binary, agree int").distinct(), "near")
     first = _verified(_few_each(near, lead), *args, "first")
@@ -368,7 +362,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     apart = near.join(rooted("a"), "a", "left").join(rooted("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)")
     groups = _groups(nodes, roots, scratch)
     second = _verified(apart, *args, "second")
-    for name in ("nodes", "near", "lead", "held", "clusters"):
+    for name in (*(f"level-{k}" for k in range(1, LEVELS + 1)), "near", "lead", "held", "clusters"):
         scratch.drop(name)
     third = scratch.keep(_large(groups, *args), "third")
     links = scratch.keep(first.union(second).union(third), "links")
