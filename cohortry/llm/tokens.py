@@ -15,7 +15,7 @@ import numpy as np
 
 #: Pieces in one of the two generations that a worker remembers: when the younger is full, it becomes the older,
 #: from which pieces are taken over when they are met again.
-MEMORY = 300_000
+MEMORY = 600_000
 _SPACED = re.compile(r"\s ")
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
@@ -132,8 +132,8 @@ class Encoder:
         if not self.by_piece:
             return self._bytes([t or "" for t in texts])
         out: list[bytes] = []
-        for lo in range(0, len(texts), 64):
-            out += self._encode([t or "" for t in texts[lo : lo + 64]])
+        for lo in range(0, len(texts), 256):
+            out += self._encode([t or "" for t in texts[lo : lo + 256]])
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
