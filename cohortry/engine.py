@@ -131,16 +131,12 @@ class Engine:
         """A definition's DataFrame, or those of all public definitions by name."""
         lib = self.parse(lib) if isinstance(lib, str) else lib
         low = self.lowerer(lib, parameters, now)
+        low.max_retrieve = self.max_retrieve
         if name is not None:
             if name not in low.defines:
                 raise SemanticFault(f"the library has no definition {name}")
-            return self._guarded(low.define(name))
-        return {d.name: self._guarded(low.define(d.name)) for d in lib.tree.defines if d.access != "private"}
-
-    def _guarded(self, df: DataFrame) -> DataFrame:
-        if self.max_retrieve is not None and df.limit(self.max_retrieve + 1).count() > self.max_retrieve:
-            raise TooCostlyFault(f"a result has more than {self.max_retrieve} rows")
-        return df
+            return low.define(name)
+        return {d.name: low.define(d.name) for d in lib.tree.defines if d.access != "private"}
 
     def value(self, expression: str, parameters: dict | None = None):
         """The value of an expression without a context, as Python has it."""

@@ -312,7 +312,8 @@ RANKED = {"Integer": 1, "Long": 2}
 
 
 def power(a: Val, b: Val) -> Val:
-    whole = a.type.name in ("Integer", "Long") and b.type.name in ("Integer", "Long")
+    """An Integer only where the exponent is known not to be negative: a literal."""
+    whole = a.type.name in ("Integer", "Long") and b.type.name in ("Integer", "Long") and isinstance(b.literal, str) and not b.literal.startswith("-")
     p = F.pow(a.col.cast("double"), b.col.cast("double"))
     p = F.when(F.isnan(p) | (F.abs(p) > 1e19), F.lit(None)).otherwise(p)
     return Val(F.round(p, 8).cast("bigint"), INT) if whole else Val(F.round(p, 8).cast(DECIMAL), DEC)

@@ -15,7 +15,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import LogicError, SemanticFault
+from ..errors import LogicError, SemanticFault, TooCostlyFault
 from ..functions import builtins as B
 from ..functions import temporal as T
 from ..functions import values as V
@@ -88,6 +88,8 @@ class Lowerer:
         self.spark, self.library, self.model, self.now, self.parameters = spark, library, model or Model(), now, parameters
         self.terminology, self.includes, self.externals = terminology, includes or {}, externals or {}
         self.count, self.active, self.trace = 0, [], None
+        #: Greatest number of rows that a retrieve may have; set where data may be read.
+        self.max_retrieve: int | None = None
         f = library.fields
         self.defines = {d.name: d for d in f["defines"]}
         self.functions: dict[str, list[Node]] = {}
@@ -818,6 +820,8 @@ class Lowerer:
                 else:
                     cond = V.equivalent(code, terms)
                 rel = replace(rel, df=rel.df.where(cond))
+        if self.max_retrieve is not None and rel.df.limit(self.max_retrieve + 1).count() > self.max_retrieve:
+            raise TooCostlyFault(f"[{n.type}] has more than {self.max_retrieve} rows")
         return rel
 
     def n_query(self, n, s):

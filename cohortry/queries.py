@@ -118,9 +118,9 @@ QUERIES = [
     _parts("between", "v: P.p_size between 10 and 20, w: P.p_size properly between 10 and 20", {"v": "boolean", "w": "boolean"}, "(p_size BETWEEN 10 AND 20) AS v, (p_size > 10 AND p_size < 20) AS w"),
     _parts("coalesce", "v: Coalesce(if P.p_size = 1 then null else P.p_size, -1), t: IsTrue(P.p_size > 3), f: IsFalse(P.p_size > 3)", {"v": "bigint", "t": "boolean", "f": "boolean"}, "coalesce(NULLIF(p_size, 1), -1)::BIGINT AS v, (p_size > 3) AS t, NOT (p_size > 3) AS f"),
     _parts("arith_div_zero", "q: P.p_size / (P.p_size - 7), d: P.p_size div (P.p_size - 7), m: P.p_size mod (P.p_size - 7)", {"q": "double", "d": "bigint", "m": "bigint"}, "round(p_size::DOUBLE / NULLIF(p_size - 7, 0), 6) AS q, trunc(p_size / NULLIF(p_size - 7, 0))::BIGINT AS d, (p_size % NULLIF(p_size - 7, 0))::BIGINT AS m"),
-    _parts("arith_div_mod", "d: (P.p_size - 25) div 4, m: (P.p_size - 25) mod 4, p: P.p_size ^ 2, n: -P.p_size", {"d": "bigint", "m": "bigint", "p": "bigint", "n": "bigint"}, "trunc((p_size - 25) / 4.0)::BIGINT AS d, ((p_size - 25) % 4)::BIGINT AS m, (p_size * p_size)::BIGINT AS p, (-p_size)::BIGINT AS n"),
+    _parts("arith_div_mod", "d: (P.p_size - 25) div 4, m: (P.p_size - 25) mod 4, p: P.p_size ^ 2, q: P.p_size ^ (-1), n: -P.p_size", {"d": "bigint", "m": "bigint", "p": "bigint", "q": "double", "n": "bigint"}, "trunc((p_size - 25) / 4.0)::BIGINT AS d, ((p_size - 25) % 4)::BIGINT AS m, (p_size * p_size)::BIGINT AS p, round(round(1.0 / p_size, 8), 6) AS q, (-p_size)::BIGINT AS n"),
     _parts("round_half_away", "a: Round(P.p_size / 2.0), b: Round(-P.p_size / 2.0), c: Round(P.p_retailprice, 1)", {"a": "double", "b": "double", "c": "double"}, "round(p_size / 2.0)::DOUBLE AS a, round(-p_size / 2.0)::DOUBLE AS b, round(p_retailprice::DECIMAL(28,8), 1)::DOUBLE AS c"),
-    _parts("log_exp_power", "a: Ln(P.p_size), b: Log(P.p_size, 2), c: Exp(P.p_size / 10.0), d: Power(P.p_size, 3), e: Abs(P.p_size - 30)", {"a": "double", "b": "double", "c": "double", "d": "bigint", "e": "bigint"}, "round(round(ln(p_size), 8), 6) AS a, round(round(ln(p_size) / ln(2), 8), 6) AS b, round(round(exp(p_size / 10.0), 8), 6) AS c, (p_size ** 3)::BIGINT AS d, abs(p_size - 30)::BIGINT AS e"),
+    _parts("log_exp_power", "a: Ln(P.p_size), b: Log(P.p_size, 2), c: Exp(P.p_size / 10.0), d: Power(P.p_size, 3), f: Power(2, -P.p_size div 10), e: Abs(P.p_size - 30)", {"a": "double", "b": "double", "c": "double", "d": "bigint", "f": "double", "e": "bigint"}, "round(round(ln(p_size), 8), 6) AS a, round(round(ln(p_size) / ln(2), 8), 6) AS b, round(round(exp(p_size / 10.0), 8), 6) AS c, (p_size ** 3)::BIGINT AS d, round(round(2.0 ** (-(p_size // 10)), 8), 6) AS f, abs(p_size - 30)::BIGINT AS e"),
     _parts("floor_ceil_trunc", "a: Floor(P.p_retailprice - 1000.0), b: Ceiling(P.p_retailprice - 1000.0), c: Truncate(P.p_retailprice - 1000.0)", {"a": "bigint", "b": "bigint", "c": "bigint"}, "floor(p_retailprice::DECIMAL(18,4) - 1000)::BIGINT AS a, ceil(p_retailprice::DECIMAL(18,4) - 1000)::BIGINT AS b, trunc(p_retailprice::DECIMAL(18,4) - 1000)::BIGINT AS c"),
     _parts("successor", "a: successor of P.p_size, b: predecessor of P.p_size, c: successor of (P.p_size + 0.5)", {"a": "bigint", "b": "bigint", "c": "double"}, "(p_size + 1)::BIGINT AS a, (p_size - 1)::BIGINT AS b, round((p_size + 0.50000001)::DOUBLE, 6) AS c"),
     _parts("string_combine", "a: Combine({ P.p_brand, null, P.p_type }, '-'), b: P.p_brand + P.p_type, c: P.p_brand & null, d: Concatenate(P.p_brand, '/', P.p_type)", dict.fromkeys("abcd", "string"), "p_brand || '-' || p_type AS a, p_brand || p_type AS b, p_brand AS c, p_brand || '/' || p_type AS d"),
@@ -181,7 +181,7 @@ QUERIES = [
     Query("json_children", U, "define Q: [Nation] N return Tuple { k: N.n_nationkey, n: Count(Children(N)) }", {"k": "bigint", "n": "bigint"}, "SELECT n_nationkey::BIGINT AS k, 3::BIGINT AS n FROM nation"),
     Query("partial_precision_compare", U, "define Q: [Orders] O return Tuple { k: O.o_orderkey, a: O.o_orderdate before @1997, b: O.o_orderdate = @1996-05, c: O.o_orderdate after @1996-05, d: year from @1996-05 }", {"k": "bigint", "a": "boolean", "b": "boolean", "c": "boolean", "d": "bigint"},
           "SELECT o_orderkey AS k, CASE WHEN year(o_orderdate) <> 1997 THEN year(o_orderdate) < 1997 END AS a, CASE WHEN date_trunc('month', o_orderdate) <> DATE '1996-05-01' THEN false END AS b, CASE WHEN date_trunc('month', o_orderdate) <> DATE '1996-05-01' THEN date_trunc('month', o_orderdate) > DATE '1996-05-01' END AS c, 1996::BIGINT AS d FROM orders"),
-    Query("uncertain_duration", U, "define Q: [Orders] O return Tuple { k: O.o_orderkey, lo: (years between O.o_orderdate and @2000) > 2, hi: (years between O.o_orderdate and @2000) > 10 }", {"k": "bigint", "lo": "boolean", "hi": "boolean"}, None),
+    Query("uncertain_duration", U, "define Q: [Orders] O return Tuple { k: O.o_orderkey, lo: (years between O.o_orderdate and @2000) > 2, hi: (years between O.o_orderdate and @2000) > 10 }", {"k": "bigint", "lo": "boolean", "hi": "boolean"}, "SELECT o_orderkey AS k, CASE WHEN a > 2 THEN true WHEN b <= 2 THEN false END AS lo, CASE WHEN a > 10 THEN true WHEN b <= 10 THEN false END AS hi FROM (SELECT o_orderkey, datesub('year', o_orderdate, TIMESTAMP '2000-01-01') AS a, datesub('year', o_orderdate, TIMESTAMP '2000-12-31 23:59:59.999') AS b FROM orders)"),
 ]
 
 

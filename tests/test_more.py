@@ -82,3 +82,16 @@ def test_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert spark.sql("SELECT count(*) AS n FROM live_orders").first()["n"] == engine.evaluate(text, "q").count()
+
+
+def test_retrieve_guard_counts_rows_of_a_retrieve(spark):
+    from cohortry.errors import TooCostlyFault
+    from cohortry.sources.model import sales_model
+
+    text = "define Q: Count([Orders])"
+    folder = "/root/testdata/sf0.001"
+    with pytest.raises(TooCostlyFault):
+        Engine(spark, sales_model(spark, folder), max_retrieve=10).evaluate(text, "Q")
+    guarded = Engine(spark, sales_model(spark, folder), max_retrieve=2000)
+    assert guarded.evaluate(text, "Q").collect()[0]["value"] == 1500
+    assert Engine(spark, sales_model(spark, folder), max_retrieve=10).check(text) == []
