@@ -1,6 +1,11 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicates, benchmark decontamination, packing.
 
 Each stage takes the documents that the one before it kept.  The last returns one row per packed piece.
+
+Null columns, null, empty and very long texts, repeated rows and an empty table pass every stage: rows without doc_id can't be
+named by the rules, the near-duplicates or the benchmark and stay; a null or empty text has nothing to lose and stays, and packs
+as its end id; repeated rows are one document to the line dedup and copies to the near-duplicates.  Extra columns stay, whatever
+their names, to the last stage but one.
 """
 
 from __future__ import annotations
@@ -60,4 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{k}")
+        scratch.drop(f"stage-{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
