@@ -11,12 +11,12 @@ Nodes compare sketches, one byte for each of SKETCH minwise coordinates: a pair
 than least_agree() of them with a chance below UNLIKE.  Full sets move only for pairs whose sketches agree, and every
 link is verified on them, in rounds, so that no group emits all its pairs:
 
-1. of the pairs in leaves, and of some members of the larger nodes against one of them, each class takes a few;
+1. each class against a few: the nearest and the least that a leaf has for it, and some that lead larger nodes;
    verified links give components;
-2. all other pairs in leaves whose ends are still in different components; and the members of large last nodes outside
-   their main component against all others, block by block, where only verified links come out.
+2. in leaves, those that have any partner there, and all members of large last nodes: those outside the main component against
+   all others, block by block, where only verified links come out.
 
-Large last nodes of different trees that overlap so much that all pairs of their members are fewer than the pairs of
+Nodes of different trees that overlap so much that all pairs of their members are fewer than the pairs of
 the nodes are compared as one group.  A pair inside one component can't change a component, so leaving it out loses nothing.
 """
 
@@ -174,21 +174,24 @@ def _agree_rows(least: int):
 
 
 def _leaf_rows(num: int, den: int, least: int):
-    """Pairs of a leaf's members whose sizes and sketches allow a link."""
+    """(path, cid, near, least, agree): the members of a leaf that have partners there, by sizes and sketches, with their nearest and least one."""
+    schema = pa.schema([("path", pa.int64()), ("cid", pa.binary()), ("near", pa.binary()), ("least", pa.binary()), ("agree", pa.int32())])
 
     def rows(batches):
         for batch in batches:
-            found = {}
-            for x in batch["x"]:
+            out = []
+            for path, x in zip(batch["path"].to_pylist(), batch["x"]):
                 x = x.as_py()
-                sketch, size = np.frombuffer(b"".join(m["sketch"] for m in x), np.uint8).reshape(-1, SKETCH), np.array([m["n_shingles"] for m in x])
-                for i in range(len(x) - 1):
-                    agree = (sketch[i + 1 :] == sketch[i]).sum(1)
-                    fit = (agree >= least) & (den * np.minimum(size[i + 1 :], size[i]) >= num * np.maximum(size[i + 1 :], size[i]))
-                    for j in np.flatnonzero(fit):
-                        found[tuple(sorted((x[i]["cid"], x[i + 1 + j]["cid"])))] = agree[j]
-            a, b = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(found.values(), pa.int32())], schema=_NEAR)
+                sketch, size, cids = np.frombuffer(b"".join(m["sketch"] for m in x), np.uint8).reshape(-1, SKETCH), np.array([m["n_shingles"] for m in x]), [m["cid"] for m in x]
+                for i in range(len(x)):
+                    agree = (sketch == sketch[i]).sum(1)
+                    agree[(agree < least) | (den * np.minimum(size, size[i]) < num * np.maximum(size, size[i]))] = -1
+                    agree[i] = -1
+                    fit = np.flatnonzero(agree >= 0)
+                    if len(fit):
+                        near = int(agree.argmax())
+                        out.append((path, cids[i], cids[near], min(cids[j] for j in fit), int(agree[near])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 5, schema)], schema=schema)
 
     return rows
 
@@ -294,16 +297,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int
 
 def _few_each(near: DataFrame, lead: DataFrame) -> DataFrame:
     """Pairs (a, b): for each class its nearest partner, its least one, and those that lead it."""
-    ends = near.select(F.col("a").alias("cid"), F.col("b").alias("other"), "agree").union(near.select("b", "a", "agree"))
-    few = ends.groupBy("cid").agg(F.max_by("other", F.struct("agree", "other")).alias("x"), F.min("other").alias("y"))
-    few = few.select("cid", F.explode(F.array("x", "y")).alias("other"))
-    few = few.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
-    return few.union(lead.select("a", "b")).distinct()
+    few = near.groupBy("cid").agg(F.max_by("near", F.struct("agree", "near")).alias("x"), F.min("least").alias("y"))
+    few = few.select("cid", "x").union(few.select("cid", "y")).toDF("cid", "other")
+    return few.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).union(lead.select("a", "b")).distinct()
 
 
 def _groups(nodes: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """(g, cid, root) of the large last nodes that hold several components: by node, or by all nodes that hang together."""
-    held = nodes.where(F.col("n") > LEAF).join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("path", "cid", F.coalesce("root", "cid").alias("root"))
+    """(g, cid, root) of the nodes (path, cid) that hold several components: by node, or by all nodes that hang together."""
+    held = nodes.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("path", "cid", F.coalesce("root", "cid").alias("root"))
     mixed = held.groupBy("path").agg(F.count("*").alias("n"), F.min("cid").alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     held = scratch.keep(held.join(mixed.select("path", "n", "head"), "path"), "held")
     whole = scratch.keep(components(held.select(F.col("cid").alias("a"), F.col("head").alias("b")), scratch, "cc-nodes"), "clusters").toDF("cid", "cluster")
@@ -355,17 +356,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     sized = lead.join(of("a", "sa"), "a").join(of("b", "sb"), "b").where(F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)"))
     lead = scratch.keep(sized.select("a", "b", "sa", "sb").mapInArrow(_agree_rows(least), "a binary, b binary, agree int"), "lead")
     leaf = nodes.where(F.col("n") <= LEAF).join(classes.select("cid", "n_shingles", "sketch"), "cid").groupBy("path").agg(F.collect_list(F.struct("cid", "n_shingles", "sketch")).alias("x"))
-    near = scratch.keep(leaf.select("x").mapInArrow(_leaf_rows(num, den, least), "a binary, b binary, agree int").distinct(), "near")
+    near = leaf.mapInArrow(_leaf_rows(num, den, least), "path long, cid binary, near binary, least binary, agree int")
+    near = scratch.keep(near, "near")
     first = _verified(_few_each(near, lead), *args, "first")
     roots = scratch.keep(components(first, scratch, "cc1"), "roots1")
-    rooted = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
-    apart = near.join(rooted("a"), "a", "left").join(rooted("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)")
-    groups = _groups(nodes, roots, scratch)
-    second = _verified(apart, *args, "second")
+    groups = _groups(near.select("path", "cid").union(nodes.where(F.col("n") > LEAF).select("path", "cid")), roots, scratch)
     for name in (*(f"level-{k}" for k in range(1, LEVELS + 1)), "near", "lead", "held", "clusters"):
         scratch.drop(name)
-    third = scratch.keep(_large(groups, *args), "third")
-    links = scratch.keep(first.union(second).union(third), "links")
+    second = scratch.keep(_large(groups, *args), "second")
+    links = scratch.keep(first.union(second), "links")
     scratch.drop("large-sets")
     roots = scratch.keep(components(links, scratch, "cc2"), "roots2")
     named = classes.select("cid", "least_id").join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
