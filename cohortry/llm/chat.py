@@ -2,9 +2,10 @@
 
 A turn is rendered ``<turn:ROLE>TEXT</turn>`` and a line feed; ``\\``, ``<`` and ``>`` inside roles and texts
 become ``\\b``, ``\\l`` and ``\\g``, so no text can hold a control string and the text can be had back.  A
-conversation is rendered whole and encoded once with offsets.  Long ones are stored in parts that end between
-turns, where no token can span (a line feed before ``<`` is a pre-token of its own), so their ids are those of
-the whole.  The mask marks the tokens that meet an assistant's text: both kinds of span are sorted, and the
+conversation is rendered whole and encoded once with offsets.  One whose turns fall into several blocks of
+BLOCK_TURNS turn numbers, or with a block of over PART_CHARS characters, is stored in parts that its own turns decide.  Parts end
+between turns, where no token can span (a line feed before ``<`` is a pre-token of its own, which is tried for the
+vocabulary at hand), so their ids are those of the whole.  The mask marks the tokens that meet an assistant's text: both kinds of span are sorted, and the
 first and last token of each turn are found by binary search.
 """
 
@@ -20,11 +21,12 @@ from pyspark.sql import functions as F
 
 from .tokens import encoder
 
-PART_CHARS = 1 << 18
+#: Turn numbers of a block, and characters from which on a part of it ends.
+BLOCK_TURNS, PART_CHARS = 256, 1 << 18
 _TURN = re.compile(r"<turn:([^<>]*)>([^<>]*)</turn>\n")
 _BACK = {"b": "\\", "l": "<", "g": ">"}
-_PART = pa.schema([("conv_id", pa.int64()), ("ord", pa.int64()), ("rendered", pa.string()), ("ids", pa.binary()), ("offsets", pa.binary()), ("mask", pa.binary()), ("spans", pa.binary())])
-_PART_SQL = "conv_id long, ord long, rendered string, ids binary, offsets binary, mask binary, spans binary"
+_PART = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("ord", pa.int64()), ("rendered", pa.string()), ("ids", pa.binary()), ("offsets", pa.binary()), ("mask", pa.binary()), ("spans", pa.binary())])
+_PART_SQL = "conv_id long, block long, ord long, rendered string, ids binary, offsets binary, mask binary, spans binary"
 
 
 def escape(text: str) -> str:
@@ -70,28 +72,33 @@ def masked_text(rendered: str, offsets: np.ndarray, mask: np.ndarray, spans: np.
     return out
 
 
+def _cuts_hold(enc) -> bool:
+    """Whether the vocabulary never joins the end of a turn with the start of the next one."""
+    one, two = "</turn>\n", "<turn:"
+    return list(enc.offsets(one + two).ids) == [*enc.offsets(one).ids, *enc.offsets(two).ids]
+
+
 def _format_rows(vocab: str, learn: str):
     def rows(batches):
-        from pyspark import TaskContext
-
-        enc, ord_ = encoder(vocab), TaskContext.get().partitionId() << 40
-        conv, turns, size = None, [], 0
+        enc = encoder(vocab)
+        own, ord_, turns, size = None, 0, [], 0
 
         def part():
-            nonlocal ord_
             text, spans = render(turns, learn)
             e = enc.offsets(text)
             offsets, spans = np.array(e.offsets, "<i4").reshape(-1, 2), np.array(spans, "<i4").reshape(-1, 2)
-            ord_ += 1
-            return {"conv_id": conv, "ord": ord_, "rendered": text, "ids": np.array(e.ids, "<u4").tobytes(), "offsets": offsets.tobytes(), "mask": mask_tokens(offsets, spans).tobytes(), "spans": spans.tobytes()}
+            return {"conv_id": own[0], "block": own[1], "ord": ord_, "rendered": text, "ids": np.array(e.ids, "<u4").tobytes(), "offsets": offsets.tobytes(), "mask": mask_tokens(offsets, spans).tobytes(), "spans": spans.tobytes()}
 
         for b in batches:
             out = []
-            for c, role, text in zip(*(b[k].to_pylist() for k in ("conv_id", "role", "text"))):
-                if turns and (c != conv or size > PART_CHARS):
+            for c, block, role, text in zip(*(b[k].to_pylist() for k in ("conv_id", "block", "role", "text"))):
+                if turns and ((c, block) != own or size > PART_CHARS):
+                    if c == own[0] and not _cuts_hold(enc):
+                        raise ValueError(f"{vocab} has tokens across the ends of turns; a long conversation can't be stored in parts")
                     out.append(part())
+                    ord_ = ord_ + 1 if (c, block) == own else 0
                     turns, size = [], 0
-                conv = c
+                own = (c, block)
                 turns.append((role or "", text or ""))
                 size += len(text or "")
             if out:
@@ -107,10 +114,11 @@ def format_chats(conversations: DataFrame, path: str, vocab: str = "byte_bpe_50k
 
     conversations needs conv_id, turn, role and text; turns go by turn (null first), equal ones by role and
     text, repeated rows stay.  A null role or text is empty; rows without conv_id make one conversation.  A
-    long conversation is dealt to several tasks; no task gathers one.
+    long conversation is dealt to several tasks by blocks of its turn numbers; rows that all have one turn number (or none)
+    are one block, which a task streams without holding it.
     """
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    rows = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.floor(F.col("turn") / BLOCK_TURNS).cast("long").alias("block"), "turn", "role", "text")
+    rows = rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
     rows.mapInArrow(_format_rows(vocab, learn), _PART_SQL).write.mode("overwrite").parquet(path)
 
 
@@ -148,6 +156,6 @@ def _digest_rows(batches):
 
 def chat_digests(spark, path: str) -> DataFrame:
     """One row per stored conversation: what its turns and its masked text are, from the files alone."""
-    parts = spark.read.schema(_PART_SQL).parquet(path).select("conv_id", "ord", "rendered", "offsets", "mask", "spans")
-    parts = parts.repartition("conv_id").sortWithinPartitions("conv_id", "ord")  # SHA-256 of a conversation needs its order
+    parts = spark.read.schema(_PART_SQL).parquet(path).select("conv_id", "block", "ord", "rendered", "offsets", "mask", "spans")
+    parts = parts.repartition("conv_id").sortWithinPartitions("conv_id", "block", "ord")  # SHA-256 of a conversation needs its order
     return parts.mapInArrow(_digest_rows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -254,6 +254,28 @@ def test_chat_round_trip(spark):
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(g), h.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_parts_of_a_chat_are_its_own_choice(spark):
+    rows = [(c, t, "user", "ab") for c in range(40) for t in range(6)] + [(70, t, "assistant", "x y") for t in range(-3, 600)]
+    df, before, seen = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in ("3", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        path = Scratch(spark, "chats").path("out")
+        chat.format_chats(df.repartition(int(n)), path)
+        seen.append(sorted(map(tuple, spark.read.parquet(path).select("conv_id", "block", "ord", "rendered").collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
+    assert [r[1] for r in seen[0] if r[0] == 70] == [-1, 0, 1, 2] and len(seen[0]) == 40 + 4
+
+
+def test_chat_odd_rows(spark):
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string, rendered string, ids int, spans int")
+    some = spark.createDataFrame([(1, 0, "assistant", "x", "a", 1, 2)], empty.schema)
+    for df, n in ((empty, 0), (some, 1)):
+        path = Scratch(spark, "chats").path("out")
+        chat.format_chats(df, path)
+        assert chat.chat_digests(spark, path).count() == n
+
+
 def test_parts_encode_as_the_whole():
     turns = [("user", prose(20, k)) for k in range(6)] + [("assistant", "\n x <"), ("user", "")]
     enc = Encoder("byte_bpe_50k.json")
@@ -323,6 +345,7 @@ def test_quality_model_odd_rows(spark, odd):
     assert quality_model.quality_scores(none_of(spark, odd), labels).count() == 0
 
 
+
 # decontamination
 
 def test_decontamination(spark, odd):
