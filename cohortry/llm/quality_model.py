@@ -145,7 +145,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pre
 
     docs needs doc_id and text, labels doc_id and quality (0 or 1; other rows and null ids are passed over, of
     contradicting rows the least counts).  Word vectors come from all texts; labels only from rows outside the
-    held-out fold, at most sample of them.  A null or wordless text is scored as a zero vector; without both
+    held-out fold, at most sample of them; of rows that repeat an id the least text is learned from.  A null or wordless text is scored as a zero vector; without both
     labels every score is 0.5.
     """
     spark = docs.sparkSession
@@ -154,8 +154,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pre
     shared = spark.sparkContext.broadcast(vectors)
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.expr("xxhash64(doc_id)"), "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "quality").mapInArrow(_feature_rows(shared), "quality int, x binary")
-    found = sorted((r["x"], r["quality"]) for r in rows.limit(2 * sample).collect())
+    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = texts.select("text", "quality").mapInArrow(_feature_rows(shared), "quality int, x binary")
+    found = sorted((r["x"], r["quality"]) for r in rows.collect())  # a row for each of the sample at most
     y = np.array([q for _, q in found], float)
     net = Network(np.array([np.frombuffer(x) for x, _ in found]), y) if len(set(y.tolist())) == 2 else None
     out = docs.withColumn("held_out", held_out()).mapInArrow(_score_rows(spark.sparkContext.broadcast((vectors, net))), "doc_id long, held_out boolean, score double")

@@ -345,6 +345,13 @@ def test_quality_model_odd_rows(spark, odd):
     assert quality_model.quality_scores(none_of(spark, odd), labels).count() == 0
 
 
+def test_quality_model_learns_once_from_a_repeated_id(spark):
+    rows = [(i, prose(30, i)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    one, two = (spark.createDataFrame(r, "doc_id long, text string") for r in (rows * 4, rows[::-1] * 4))
+    got = [sorted(map(tuple, quality_model.quality_scores(d, labels, sample=40).distinct().collect())) for d in (one, two)]
+    assert got[0] == got[1] and len(got[0]) == 60
+
 
 # decontamination
 
