@@ -21,7 +21,7 @@ from ..functions import temporal as T
 from ..functions import values as V
 from ..sources.model import Model, type_of
 from .syntax import Node
-from .types import ANY, BOOL, CODE, CONCEPT, DATE, DEC, DT, INT, LONG, NAMED, QTY, RATIO, REAL, STR, TIME, UNC, VOCAB, Type, Val, interval_of, list_of, none, tuple_of
+from .types import ANY, BOOL, CODE, CONCEPT, DATE, DEC, DT, INT, LONG, NAMED, QTY, RANK, RATIO, REAL, STR, TIME, UNC, VOCAB, Type, Val, interval_of, list_of, none, tuple_of
 
 KEY = "__subject"
 
@@ -31,6 +31,23 @@ class Frame:
 
     def __init__(self, df: DataFrame, keyed: bool, rows: bool = False):
         self.df, self.keyed, self.rows, self.subject = df, keyed, rows, None
+        self.run = None
+
+    def aggregate(self, df: DataFrame, keyed: bool, make: Column) -> None:
+        """Attach an aggregate of a table; those of one table that follow each other share its scan, shuffle and join."""
+        if self.run is None or self.run["after"] is not self.df:
+            self.run = {"before": self.df, "groups": []}
+        for g in self.run["groups"]:
+            if g["keyed"] == keyed and len(g["own"].columns) == len(df.columns) and g["own"].sameSemantics(df):
+                g["df"] = g["df"].withColumns({new: F.col(old) for old, new in zip(g["own"].columns, df.columns) if new not in g["df"].columns})
+                g["makes"].append(make)
+                break
+        else:
+            self.run["groups"].append({"own": df, "df": df, "keyed": keyed, "makes": [make]})
+        self.df = self.run["before"]
+        for g in self.run["groups"]:
+            self.attach((g["df"].groupBy(KEY) if g["keyed"] else g["df"].groupBy()).agg(*g["makes"]))
+        self.run["after"] = self.df
 
     def attach(self, scalars: DataFrame) -> None:
         """Join one row per subject (or one row) to the frame."""
@@ -168,8 +185,7 @@ class Lowerer:
     def scalar(self, rel: Rel, scope: Scope, make, t: Type, empty=None) -> Val:
         """An aggregate of a list in set form, joined to the frame; empty: its value for a subject without rows."""
         name = self.fresh("agg")
-        grouped = rel.df.groupBy(KEY) if rel.keyed else rel.df.groupBy()
-        scope.frame.attach(grouped.agg(make.alias(name)))
+        scope.frame.aggregate(rel.df, rel.keyed, make.alias(name))
         col = F.col(name)
         return Val(F.coalesce(col, empty) if empty is not None else col, t)
 
@@ -531,6 +547,9 @@ class Lowerer:
         if n.right_end and b.type.name == "Interval":
             b = V.start(b) if n.right_end == "start" else V.end(b)
         if "List" in (a.type.name, b.type.name):
+            for x, y in ((a, b), (b, a)):
+                if x.type.name == "Interval" and y.type.name == "List" and y.type.item.name not in ("Interval", "Any"):
+                    raise SemanticFault(f"{n.op} doesn't take {a.type} and {b.type}")
             return Val(B.list_timing(n.op, a, b, n.proper), BOOL)
         return Val(V.timing(n.op, a, b, n.precision, n.proper, n.offset), BOOL)
 
@@ -564,7 +583,12 @@ class Lowerer:
 
     def n_cast(self, n, s):
         v, t = self.val(n.arg, s), self.type(n.type)
-        return self.changed(v, t)
+        wrong = F.raise_error(F.lit(f"cast: the value is no {t}"))
+        if v.type.name == "Choice" and t.name in dict(v.type.args):
+            return Val(F.when(v.null | v[t.name].isNotNull(), v[t.name]).otherwise(wrong), t)
+        if v.type == ANY or v.type.name == t.name or {v.type.name, t.name} <= set(RANK) or {v.type.name, t.name} in ({"Date", "DateTime"}, {"Code", "Concept"}):
+            return self.changed(v, t)
+        return Val(F.when(v.null, none(t).col).otherwise(wrong), t)
 
     def n_convert(self, n, s):
         return self.changed(self.val(n.arg, s), self.type(n.type))

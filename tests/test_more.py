@@ -6,11 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortry.engine import Engine, Library
+from cohortry.errors import SemanticFault
 from cohortry.operators.ranges import merge_intervals, overlap_join
 from cohortry.plans.elm import export_library, import_library
 from cohortry.plans.syntax import parse_library
+from cohortry.queries import queries
 from cohortry.sources.fhir import fhir_model, read_resources
 from cohortry.sources.model import sales_model
+from cohortry.sources.terminology import Terminology
 from cohortry.streaming.live import evaluate_stream
 
 SF = "/root/testdata/sf0.001"
@@ -96,3 +99,34 @@ def test_retrieve_guard_counts_rows_of_a_retrieve(spark):
     guarded = Engine(spark, sales_model(spark, folder), max_retrieve=2000)
     assert guarded.evaluate(text, "Q").collect()[0]["value"] == 1500
     assert Engine(spark, sales_model(spark, folder), max_retrieve=10).check(text) == []
+
+
+def test_value_sets_of_any_size_inside_expressions(spark):
+    sets = [("v", "s", f"Brand#{k}", "") for k in range(20, 620)] + [("v", None, "n", ""), ("w", "s", "Brand#21", ""), ("w", None, "n", "")]
+    closure = [("s", f"c{k}", f"p{k % 50}") for k in range(3000)]
+    terms = Terminology(spark.createDataFrame(sets, "url string, system string, code string, display string"), spark.createDataFrame(closure, "system string, code string, ancestor string"))
+    rows = [("s", "Brand#21"), ("s", "Brand#9"), (None, "Brand#21"), (None, "n"), ("s|", "n"), ("s", None), ("s|Brand#21", "")]
+    df = spark.createDataFrame(rows, "system string, code string").select(F.struct("system", "code").alias("c"))
+    for url in ("v", "w"):
+        member, known = terms.test(url), {(s, c) for u, s, c, _ in sets if u == url}
+        got = df.select("c", member(F.col("c")).alias("m"), F.exists(F.array("c"), member).alias("e")).collect()
+        assert all(r["m"] == r["e"] == (tuple(r["c"]) in known) for r in got)
+    code = lambda c: F.struct(F.lit("s").alias("system"), F.lit(c).alias("code"))
+    above = terms.subsumes()
+    assert spark.range(1).select(above(code("p7"), code("c57")), above(code("p7"), code("c58"))).head() == (True, False)
+
+
+def test_aggregates_of_one_table_share_its_scan(spark):
+    plan = queries()["agg_variance"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2
+
+
+def test_casts_that_fail_and_intervals_against_lists(spark):
+    engine = Engine(spark, sales_model(spark, SF))
+    value = lambda e: engine.evaluate(f"define x: {e}", "x").head()["value"]
+    assert value("cast 1 as Integer") == 1 and value("cast (null as String) as Integer") is None
+    with pytest.raises(Exception, match="cast"):
+        value("cast 'a' as Integer")
+    with pytest.raises(SemanticFault):
+        value("Interval[1, 5] includes {2, 3}")
+    assert value("{Interval[1, 5]} includes Interval[1, 5]") is True
