@@ -116,6 +116,14 @@ QUERIES = [
     _parts("tuple_equal", "e: Tuple { a: P.p_size, b: P.p_brand } = Tuple { a: 7, b: 'Brand#11' }, n: Tuple { a: if P.p_size = 1 then null else P.p_size, b: 'x' } = Tuple { a: 7, b: 'x' }", {"e": "boolean", "n": "boolean"}, "(p_size = 7 AND p_brand = 'Brand#11') AS e, (NULLIF(p_size, 1) = 7) AS n"),
     _parts("equivalent_decimal", "v: (P.p_retailprice + 0.0) ~ 1000.0, w: 'ab' ~ 'AB'", {"v": "boolean", "w": "boolean"}, "(floor(abs(p_retailprice::DECIMAL(28,8)) + 0.5) = 1000) AS v, true AS w"),
     _parts("between", "v: P.p_size between 10 and 20, w: P.p_size properly between 10 and 20", {"v": "boolean", "w": "boolean"}, "(p_size BETWEEN 10 AND 20) AS v, (p_size > 10 AND p_size < 20) AS w"),
+    _parts("null_tests", "a: IsNull(if P.p_size = 1 then null else P.p_size), b: IsTrue(null as Boolean), c: not (P.p_size > 3), d: (if P.p_size = 1 then null else P.p_size) is not null", dict.fromkeys("abcd", "boolean"), "(p_size = 1) AS a, false AS b, NOT (p_size > 3) AS c, (p_size <> 1) AS d"),
+    _parts("unary_sign", "a: -P.p_size, b: +P.p_size, c: -(-P.p_size), d: Abs(-P.p_size)", dict.fromkeys("abcd", "bigint"), "-p_size::BIGINT AS a, p_size::BIGINT AS b, p_size::BIGINT AS c, p_size::BIGINT AS d"),
+    _parts("list_equality", "a: {P.p_size, 1} = {7, 1}, b: {P.p_size, 1} ~ {7, 1}, c: {P.p_size} = {7, 1}, d: {Tuple { s: P.p_size }} = {Tuple { s: 7 }}", dict.fromkeys("abcd", "boolean"), "(p_size = 7) AS a, (p_size = 7) AS b, false AS c, (p_size = 7) AS d"),
+    _parts("list_equivalence_null", "a: {if P.p_size = 1 then null else P.p_size} ~ {null as Integer}, b: Tuple { s: if P.p_size = 1 then null else P.p_size } ~ Tuple { s: null as Integer }", dict.fromkeys("ab", "boolean"), "(p_size = 1) AS a, (p_size = 1) AS b"),
+    _parts("code_selectors", "a: Code { code: P.p_brand, system: 's' } = Code { code: 'Brand#11', system: 's' }, b: Code { code: P.p_brand, system: 's', display: 'x' } ~ Code { code: 'Brand#11', system: 's' }, c: Concept { codes: { Code { code: P.p_brand, system: 's' } } } ~ Concept { codes: { Code { code: 'Brand#11', system: 's' } } }", dict.fromkeys("abc", "boolean"), "(p_brand = 'Brand#11') AS a, (p_brand = 'Brand#11') AS b, (p_brand = 'Brand#11') AS c"),
+    _parts("quantity_scaling", "a: (Quantity { value: ToDecimal(P.p_size), unit: 'kg' } * 2.0).value, b: (Quantity { value: ToDecimal(P.p_size), unit: 'kg' } / 2.0).value, c: (Quantity { value: ToDecimal(P.p_size), unit: 'kg' } - Quantity { value: 1.0, unit: 'kg' }).value", dict.fromkeys("abc", "double"), "(p_size * 2)::DOUBLE AS a, (p_size / 2)::DOUBLE AS b, (p_size - 1)::DOUBLE AS c"),
+    _parts("converts_to", "a: ConvertsToInteger(P.p_brand), b: ConvertsToInteger(ToString(P.p_size)), c: ConvertsToBoolean('yes'), d: ConvertsToDate('2020-13-01')", dict.fromkeys("abcd", "boolean"), "false AS a, true AS b, true AS c, false AS d"),
+    _parts("decimal_boundaries", "a: LowBoundary(1.587, 6), b: HighBoundary(1.587, 6)", dict.fromkeys("ab", "double"), "1.587::DOUBLE AS a, 1.587999::DOUBLE AS b"),
     _parts("coalesce", "v: Coalesce(if P.p_size = 1 then null else P.p_size, -1), t: IsTrue(P.p_size > 3), f: IsFalse(P.p_size > 3)", {"v": "bigint", "t": "boolean", "f": "boolean"}, "coalesce(NULLIF(p_size, 1), -1)::BIGINT AS v, (p_size > 3) AS t, NOT (p_size > 3) AS f"),
     _parts("arith_div_zero", "q: P.p_size / (P.p_size - 7), d: P.p_size div (P.p_size - 7), m: P.p_size mod (P.p_size - 7)", {"q": "double", "d": "bigint", "m": "bigint"}, "round(p_size::DOUBLE / NULLIF(p_size - 7, 0), 6) AS q, trunc(p_size / NULLIF(p_size - 7, 0))::BIGINT AS d, (p_size % NULLIF(p_size - 7, 0))::BIGINT AS m"),
     _parts("arith_div_mod", "d: (P.p_size - 25) div 4, m: (P.p_size - 25) mod 4, p: P.p_size ^ 2, q: P.p_size ^ (-1), n: -P.p_size", {"d": "bigint", "m": "bigint", "p": "bigint", "q": "double", "n": "bigint"}, "trunc((p_size - 25) / 4.0)::BIGINT AS d, ((p_size - 25) % 4)::BIGINT AS m, (p_size * p_size)::BIGINT AS p, round(round(1.0 / p_size, 8), 6) AS q, (-p_size)::BIGINT AS n"),
