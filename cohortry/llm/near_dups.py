@@ -11,9 +11,12 @@ Nodes compare sketches, one byte for each of SKETCH minwise coordinates: a pair
 than least_agree() of them with a chance below UNLIKE.  Full sets move only for pairs whose sketches agree, and every
 link is verified on them, in rounds, so that no group emits all its pairs:
 
-1. each class against a few: the nearest and the least that a leaf has for it, and some that lead larger nodes;
-   verified links give components;
-2. in leaves, those that have any partner there, and all members of large last nodes: those outside the main component against
+0. before any tree, each class against the least of those that agree with it on a whole band of coordinates; verified links
+   give components.  A node whose members are all in one of them holds no link that could change it and ends there; so does
+   a large one with one component and few other classes, which meet all of it in round 2;
+1. each class against a few: the nearest and the least of other components that a leaf has for it, and some that lead larger
+   nodes; verified links give components;
+2. in leaves, those that have any partner of another component there, and all members of large nodes that ended: those outside the main component against
    all others, block by block, where only verified links come out.
 
 Nodes of different trees that overlap so much that all pairs of their members are fewer than the pairs of
@@ -36,7 +39,12 @@ from .words import blocks
 
 COORDINATES, LEVELS, LEAF = 64, 10, 48
 #: Members and shingles of a block of a large node, or so.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 17
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+#: From the first of these levels on, nodes of so many members end: near copies stay together on all levels, whereas comparing the
+#: sketches of so many costs less than to follow them further.
+SETTLED, ENOUGH = 3, 2048
+#: Coordinates of a band: classes that agree on one are held against the least of them before any tree.
+BAND = 8
 #: Coordinates of a sketch, those of the paths among them.
 SKETCH = 256
 #: Greatest chance that a pair at the threshold meets in no leaf or last node, and what a node keeps of such a pair on average.
@@ -174,7 +182,8 @@ def _agree_rows(least: int):
 
 
 def _leaf_rows(num: int, den: int, least: int):
-    """(path, cid, near, least, agree): the members of a leaf that have partners there, by sizes and sketches, with their nearest and least one."""
+    """(path, cid, near, least, agree): the members of a leaf that have partners of another component there, by sizes and sketches, with
+    their nearest and least one."""
     schema = pa.schema([("path", pa.int64()), ("cid", pa.binary()), ("near", pa.binary()), ("least", pa.binary()), ("agree", pa.int32())])
 
     def rows(batches):
@@ -183,10 +192,12 @@ def _leaf_rows(num: int, den: int, least: int):
             for path, x in zip(batch["path"].to_pylist(), batch["x"]):
                 x = x.as_py()
                 sketch, size, cids = np.frombuffer(b"".join(m["sketch"] for m in x), np.uint8).reshape(-1, SKETCH), np.array([m["n_shingles"] for m in x]), [m["cid"] for m in x]
+                names = {r: k for k, r in enumerate({m["root"] for m in x})}
+                root = np.array([names[m["root"]] for m in x])
                 for i in range(len(x)):
                     agree = (sketch == sketch[i]).sum(1)
                     agree[(agree < least) | (den * np.minimum(size, size[i]) < num * np.maximum(size, size[i]))] = -1
-                    agree[i] = -1
+                    agree[root == root[i]] = -1
                     fit = np.flatnonzero(agree >= 0)
                     if len(fit):
                         near = int(agree.argmax())
@@ -254,47 +265,82 @@ def _chosen(path, sig, two):
     return F.when(F.expr(f"pmod(xxhash64({path}, 3), 1000) < {round(1000 * two)}"), F.array(first, second)).otherwise(F.array(first))
 
 
-def chosen_paths(classes: DataFrame, scratch: Scratch, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(path, cid, n) of the leaves and of the nodes that are large at the last level, n being their size; and
-    leaders (cid, leader, level): for members of the larger nodes at every level one of them, in parts."""
+def chosen_paths(classes: DataFrame, scratch: Scratch, threshold: float = 0.8, roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(path, cid, n) of the leaves and of the larger nodes that end, n being their size, for classes (cid, sig) and
+    the components (id, root) known of them; and leaders (cid, leader, level): for members of the larger nodes at every level that don't end
+    one of them, in parts.  Nodes within one component are left out."""
     two = second_share(threshold)
-    rows = classes.select("cid", F.explode(F.sequence(F.lit(1), F.lit(trees_for(threshold)))).alias("tree"), "sig").select("cid", "sig", F.expr("xxhash64(tree, 77)").alias("path"))
+    classes = classes.join(roots.withColumnRenamed("id", "cid"), "cid", "left") if roots else classes.withColumn("root", F.lit(None).cast("binary"))
+    kept = ("cid", "sig", "root")
+    rows = classes.select(*kept, F.explode(F.sequence(F.lit(1), F.lit(trees_for(threshold)))).alias("tree")).select(*kept, F.expr("xxhash64(tree, 77)").alias("path"))
+    size = None
     for level in range(1, LEVELS + 1):
-        rows = rows.select("cid", "path", F.explode(_chosen("path", "sig", two)).alias("c")).select("cid", F.expr(f"xxhash64(path, c.k, c.v, {level})").alias("path"))
-        sizes = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        rows = scratch.keep(rows.join(sizes, "path").select("path", "cid", "n", F.lit(level).alias("level")), f"level-{level}")
-        large = rows.where(F.col("n") > LEAF)
-        if level == LEVELS or large.isEmpty():
+        rows = rows.select("cid", "root", "path", F.explode(_chosen("path", "sig", two)).alias("c")).select("cid", "root", F.expr(f"xxhash64(path, c.k, c.v, {level})").alias("path"))
+        per = rows.groupBy("path").agg(F.count("*").alias("n"), F.expr("count(*) - count(root)").alias("alone"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        mixed = per.where("n > 1 AND (alone > 0 OR lo <> hi)")
+        ends = F.expr(f"n <= {ENOUGH if level >= SETTLED else LEAF} OR alone <= {LEAF} AND lo = hi") if level < LEVELS else F.lit(True)
+        mixed = mixed.select("path", "n", F.coalesce(ends, F.lit(False)).alias("ends"))
+        rows = scratch.keep(rows.join(mixed, "path").select("path", "cid", "n", "ends", F.lit(level).alias("level")), f"level-{level}", size)
+        large = rows.where("NOT ends")
+        size = large.count()
+        if level == LEVELS or not size:
             break
-        rows = large.select("cid", "path").join(classes.select("cid", "sig"), "cid")
+        rows = large.select("cid", "path").join(classes.select(*kept), "cid")
     every = scratch.spark.read.schema(large.schema).parquet(*(scratch.path(f"level-{k}") for k in range(1, level + 1)))
-    parts = every.where(F.col("n") > LEAF).select("path", F.expr(f"pmod(xxhash64(path, cid), ceil(n / {PART}))").alias("part"), "cid", "level")
+    parts = every.where(f"NOT ends OR level = {LEVELS} AND n > {LEAF}").select("path", F.expr(f"pmod(xxhash64(path, cid), ceil(n / {PART}))").alias("part"), "cid", "level")
     lead = parts.groupBy("path", "part").agg(F.min_by("cid", F.xxhash64("cid", "path")).alias("leader"))
     leaders = parts.join(lead, ["path", "part"]).where("cid <> leader").select("cid", "leader", "level")
-    return every.where(f"n <= {LEAF} OR level = {LEVELS}").select("path", "cid", "n"), leaders
+    return every.where("ends").select("path", "cid", "n"), leaders
 
 
-def _sets(ids: DataFrame, classes: DataFrame, texts: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
-    """(cid, shingles) of the classes named in ids (cid, no row twice)."""
-    ids = scratch.keep(ids.join(classes.select("cid", "tkey"), "cid"), f"{name}-ids")
-    if ids.count() <= BROADCAST_IDS:
+def _sets(ids: DataFrame, classes: DataFrame, texts: DataFrame, width: int, scratch: Scratch, name: str, rows: int | None = None) -> DataFrame:
+    """(cid, shingles) of the classes named in ids (cid, no row twice; rows: about as many)."""
+    ids = scratch.keep(ids.join(classes.select("cid", "tkey"), "cid"), f"{name}-ids", rows)
+    n = ids.count()
+    if n <= BROADCAST_IDS:
         texts, ids = texts.join(F.broadcast(ids), "tkey").groupBy("cid").agg(F.first("text").alias("text")), None
     else:  # copies of a text are one row before any of them meet
         texts = texts.groupBy("tkey").agg(F.first("text").alias("text")).join(ids, "tkey")
-    return scratch.keep(texts.mapInArrow(_set_rows(width), "cid binary, shingles binary"), f"{name}-sets")
+    return scratch.keep(texts.mapInArrow(_set_rows(width), "cid binary, shingles binary"), f"{name}-sets", n)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of class ids, no pair twice, that reach the threshold on full sets, as a table of that name."""
     pairs = scratch.keep(pairs.select("a", "b"), f"{name}-pairs")
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), classes, texts, width, scratch, name)
+    n = pairs.count()
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), classes, texts, width, scratch, name, n)
     both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
-    links = scratch.keep(both.select("a", "b", "xa", "xb").mapInArrow(_verify_rows(num, den), "a binary, b binary"), name)
+    both = both.select("a", "b", "xa", "xb").coalesce(scratch.parts(n))
+    links = scratch.keep(both.mapInArrow(_verify_rows(num, den), "a binary, b binary"), name)
     for part in ("pairs", "ids", "sets"):
         scratch.drop(f"{name}-{part}")
     return links
 
 
+def _alike(pairs: DataFrame, classes: DataFrame, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of class ids, with agree, that sizes and sketches allow, as a table of that name."""
+    pairs = scratch.keep(pairs, f"{name}-pairs")
+    n = pairs.count()
+    of = lambda c, s: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(s))
+    sized = pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").where(F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)"))
+    sized = sized.select("a", "b", "sa", "sb").coalesce(scratch.parts(n))
+    found = scratch.keep(sized.mapInArrow(_agree_rows(least_agree(num / den)), "a binary, b binary, agree int"), name)
+    scratch.drop(f"{name}-pairs")
+    return found
+
+
+def _by_bands(classes: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b): for each class the nearest and the least of the classes that are the least in one of its bands."""
+    band = F.expr(f"xxhash64(k, substring(sig, k * {4 * BAND} + 1, {4 * BAND}))")
+    bands = classes.select("cid", "sig", F.explode(F.sequence(F.lit(0), F.lit(COORDINATES // BAND - 1))).alias("k")).select("cid", band.alias("band"))
+    lead = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("cid").alias("leader")).where("n > 1").drop("n")
+    pairs = bands.join(lead, "band").where("cid <> leader").groupBy(F.col("cid").alias("a")).agg(F.collect_set("leader").alias("l"))
+    alike = _alike(pairs.select("a", F.explode("l").alias("b")), classes, num, den, scratch, "bands")
+    few = alike.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("x"), F.min("b").alias("y"))
+    few = few.select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
+    return few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _few_each(near: DataFrame, lead: DataFrame) -> DataFrame:
     """Pairs (a, b): for each class its nearest partner, its least one, and those that lead it."""
     few = near.groupBy("cid").agg(F.max_by("near", F.struct("agree", "near")).alias("x"), F.min("least").alias("y"))
@@ -348,25 +394,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     seen = scratch.keep(seen.select("doc_id", "n_shingles", "cid"), "seen")
     scratch.drop("sketches")
     threshold, args = num / den, (classes, texts.select("tkey", "text"), width, num, den, scratch)
-    least = least_agree(threshold)
-    nodes, leaders = chosen_paths(classes, scratch, threshold)
+    links = _verified(_by_bands(classes, num, den, scratch), *args, "links0")
+    roots = scratch.keep(components(links, scratch, "cc0"), "roots0")
+    member = classes.join(roots.withColumnRenamed("id", "cid"), "cid", "left")
+    nodes, leaders = chosen_paths(classes.select("cid", "sig"), scratch, threshold, roots)
     deepest = leaders.groupBy("cid").agg(F.expr(f"slice(reverse(array_sort(collect_set(struct(level, leader)))), 1, {LEADERS})").alias("l"))
-    lead = deepest.select("cid", F.explode("l.leader").alias("leader")).select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct()
-    of = lambda c, s: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(s))
-    sized = lead.join(of("a", "sa"), "a").join(of("b", "sb"), "b").where(F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)"))
-    lead = scratch.keep(sized.select("a", "b", "sa", "sb").mapInArrow(_agree_rows(least), "a binary, b binary, agree int"), "lead")
-    leaf = nodes.where(F.col("n") <= LEAF).join(classes.select("cid", "n_shingles", "sketch"), "cid").groupBy("path").agg(F.collect_list(F.struct("cid", "n_shingles", "sketch")).alias("x"))
-    near = leaf.mapInArrow(_leaf_rows(num, den, least), "path long, cid binary, near binary, least binary, agree int")
+    lead = _alike(deepest.select(F.col("cid").alias("a"), F.explode("l.leader").alias("b")), classes, num, den, scratch, "lead")
+    lead = lead.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    leaf = nodes.where(F.col("n") <= LEAF).join(member.select("cid", "n_shingles", "sketch", F.coalesce("root", "cid").alias("root")), "cid")
+    leaf = leaf.groupBy("path").agg(F.collect_list(F.struct("cid", "n_shingles", "sketch", "root")).alias("x"))
+    near = leaf.mapInArrow(_leaf_rows(num, den, least_agree(threshold)), "path long, cid binary, near binary, least binary, agree int")
     near = scratch.keep(near, "near")
     first = _verified(_few_each(near, lead), *args, "first")
-    roots = scratch.keep(components(first, scratch, "cc1"), "roots1")
+    # components found before go on as the links of their members with their roots
+    joined = lambda roots, links: roots.toDF("a", "b").union(links.select("a", "b"))
+    roots = scratch.keep(components(joined(roots, first), scratch, "cc1"), "roots1")
     groups = _groups(near.select("path", "cid").union(nodes.where(F.col("n") > LEAF).select("path", "cid")), roots, scratch)
-    for name in (*(f"level-{k}" for k in range(1, LEVELS + 1)), "near", "lead", "held", "clusters"):
+    for name in (*(f"level-{k}" for k in range(1, LEVELS + 1)), "bands", "near", "lead", "held", "clusters"):
         scratch.drop(name)
     second = scratch.keep(_large(groups, *args), "second")
-    links = scratch.keep(first.union(second), "links")
     scratch.drop("large-sets")
-    roots = scratch.keep(components(links, scratch, "cc2"), "roots2")
+    if not second.isEmpty():
+        roots = scratch.keep(components(joined(roots, second), scratch, "cc2"), "roots2")
     named = classes.select("cid", "least_id").join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.join(least, "root").select("cid", "component_id")

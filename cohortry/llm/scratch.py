@@ -11,6 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables whose rows were counted before have a partition for so many rows, and so many partitions at least.
+PART_ROWS, LEAST_PARTS = 2000, 12
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; an own temporary one only if the session names none."""
@@ -35,8 +38,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write the table once and go on from the files."""
+    def parts(self, rows: int) -> int:
+        """Partitions that so many rows need."""
+        return max(LEAST_PARTS, -(-rows // PART_ROWS))
+
+    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write the table once and go on from the files; rows: about how many it takes in, where so few need no more tasks."""
+        if rows is not None:
+            df = df.coalesce(self.parts(rows))
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

@@ -121,6 +121,38 @@ def test_pairs_at_the_threshold_meet_in_large_nodes(spark):
     assert (~met).sum() <= 0.003 * n * (n - 1)
 
 
+def test_nodes_within_one_component_end(spark, monkeypatch):
+    """Copies known to hang together leave the trees at once, but where others share their nodes: those meet all of them."""
+    monkeypatch.setattr(near_dups, "SETTLED", near_dups.LEVELS)
+    r, name = np.random.default_rng(6), lambda k: int(k).to_bytes(2, "big")
+    sig = np.tile(r.integers(0, 2**32, near_dups.COORDINATES, dtype=np.uint32), (400, 1))
+    other = sig[0].copy()
+    other[:6] += 1
+    classes = lambda rows: spark.createDataFrame([(name(k), bytearray(x.tobytes())) for k, x in enumerate(rows)], "cid binary, sig binary")
+    roots = spark.createDataFrame([(name(k), name(0)) for k in range(400)], "id binary, root binary")
+    nodes, leaders = near_dups.chosen_paths(classes(sig), Scratch(spark, "test-one"), 0.85, roots)
+    assert nodes.count() == 0 and leaders.count() == 0
+    nodes, leaders = near_dups.chosen_paths(classes([*sig, other]), Scratch(spark, "test-two"), 0.85, roots)
+    at = nodes.groupBy("path").agg(F.collect_set("cid").alias("cids")).collect()
+    assert leaders.count() == 0 and at and all(len(x["cids"]) == 401 for x in at)
+
+
+@pytest.mark.parametrize("settled", [1, near_dups.LEVELS])
+def test_near_duplicates_across_components_equal_brute_force(spark, monkeypatch, settled):
+    """Groups of near copies, most of them just under the threshold to others of their group, some linked through a few."""
+    for name, value in (("LEAF", 4), ("SETTLED", settled), ("ENOUGH", 30), ("BLOCK", 16)):
+        monkeypatch.setattr(near_dups, name, value)
+    docs, r = [], random.Random(11)
+    for base in (prose(100, 21), prose(90, 22), prose(110, 23)):
+        for _ in range(70):
+            ws = base.split()
+            for _ in range(r.choice((0, 1, 2, 3, 3, 4, 4))):
+                ws[r.randrange(len(ws))] = f"w{r.randrange(10**6)}"
+            docs.append((len(docs), " ".join(ws)))
+    got = near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=3, num=85, den=100).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == components_of(docs, 3, 85, 100)
+
+
 # tokens
 
 def test_encoder_equals_the_library():
