@@ -156,14 +156,15 @@ def _linked(pairs: DataFrame, lines: DataFrame, edits: int, near_chars: int, scr
     """The pairs (a, b) of digests, of pairs of ids, whose lines are at most edits apart, SHORT_EDITS where one is under near_chars."""
     short = min(SHORT_EDITS, edits)
     pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
-    ids = scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
+    n = pairs.count()
+    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids", n)
     few = ids.count() <= BROADCAST_IDS
     texts = scratch.keep(lines.select("id", "digest", "line").join(F.broadcast(ids) if few else ids, "id"), f"{name}-texts")
     texts = texts.withColumn("bag", bag("line"))
     both = pairs.join(texts.toDF("a", "da", "la", "ba"), "a").join(texts.toDF("b", "db", "lb", "bb"), "b")
     both = both.withColumn("long", F.least(F.length("la"), F.length("lb")) >= near_chars)
     near = both.where(near_bags("ba", "bb", f"if(long, {edits}, {short})")).where(F.when(F.col("long"), near_pieces("la", "lb", edits)).otherwise(near_pieces("la", "lb", short)))
-    near = scratch.keep(near.select("da", "db", "la", "lb", "long"), f"{name}-near")
+    near = scratch.keep(near.select("da", "db", "la", "lb", "long"), f"{name}-near", n)
     links = near.where(F.when(F.col("long"), within_edits("la", "lb", edits)).otherwise(within_edits("la", "lb", short)))
     links = scratch.keep(links.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")), name)
     for part in ("pairs", "ids", "texts", "near"):

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortry.llm import chat, decontaminate, line_dedup, near_dups, packing, quality_model, quality_rules, token_counts, token_store, url_filter
+from cohortry.llm import components as cc
 from cohortry.llm.scratch import Scratch
 from cohortry.llm.tokens import Encoder
 from cohortry.llm.words import blocks
@@ -137,6 +138,25 @@ def test_nodes_within_one_component_end(spark, monkeypatch):
     assert leaders.count() == 0 and at and all(len(x["cids"]) == 401 for x in at)
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_components_of_few_links_are_one_partition(spark, monkeypatch, few):
+    """Steps over few links write one file; either way a component's root is its least id."""
+    monkeypatch.setattr(cc, "ONE_PART", 1000 if few else 0)
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    r = random.Random(4)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(220)]
+    scratch = Scratch(spark, "test-components")
+    got = {x["id"]: x["root"] for x in cc.components(spark.createDataFrame(links, "a long, b long"), scratch, "cc").collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    want = {x: x for a, b in links if a != b for x in (a, b)}
+    while (now := {x: min(want[y] for a, b in [(x, x), *links] if x in (a, b) for y in (a, b)) for x in want}) != want:
+        want = now
+    assert got == want
+    files = spark.read.parquet(scratch.path("cc-1")).inputFiles()
+    assert len(files) == 1 if few else len(files) > 1
+
+
 @pytest.mark.parametrize("settled", [1, near_dups.LEVELS])
 def test_near_duplicates_across_components_equal_brute_force(spark, monkeypatch, settled):
     """Groups of near copies, most of them just under the threshold to others of their group, some linked through a few."""
