@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.llm import chat, decontaminate, line_dedup, near_dups, packing, quality_model, quality_rules, token_counts, token_store, url_filter
+from cohortry.llm import chat, decontaminate, line_dedup, near_dups, packing, quality_model, quality_rules, token_counts, token_store, tokens, url_filter
 from cohortry.llm import components as cc
 from cohortry.llm.scratch import Scratch
 from cohortry.llm.tokens import Encoder
@@ -182,6 +182,17 @@ def test_encoder_equals_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [ref(t) for t in texts]
 
 
+def test_new_pieces_reach_the_library_in_short_texts(monkeypatch):
+    """Ids of more words than one short text holds, plain ASCII or not, are those of the library; no text has more of them."""
+    words = [f"{prose(1)}{tail}" for k in range(5 * tokens.SHORT) for tail in ("", "é", "ß" if k % 7 else ".")]
+    enc, seen = Encoder("byte_bpe_50k.json"), []
+    many = enc.many
+    monkeypatch.setattr(enc, "many", lambda texts: seen.extend(texts) or many(texts))
+    text = " ".join(words)
+    assert enc.encode([text]) == [np.array(many([text])[0], "<u4").tobytes()]
+    assert max(len(t.split()) for t in seen) == tokens.SHORT
+
+
 def test_token_store_round_trip(spark, odd):
     shared = prose(400, 8)
     more = spark.createDataFrame([(100 + i, prose(50, i) + " " + shared + " " + prose(50, i + 50)) for i in range(6)], "doc_id long, text string")
