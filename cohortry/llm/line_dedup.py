@@ -40,7 +40,8 @@ def segment_shapes(edits: int) -> list[tuple]:
     """(t, d, same, j, off): a line that is d longer than the indexed one, t edits being allowed, looks at segment j, shifted by
     off; same: neither differs, so that its own segment is meant."""
     spread = lambda t, d, j: range(max(1 - j, d - (t + 1 - j)), min(j - 1, d + (t + 1 - j)) + 1)
-    return [(t, d, d == off == 0, j, off) for t in range(edits + 1) for d in range(t + 1) for j in range(1, t + 2) for off in spread(t, d, j)]
+    # of lines of one length both look: the middle moved to the left in one has moved to the right in the other
+    return [(t, d, d == off == 0, j, off) for t in range(edits + 1) for d in range(t + 1) for j in range(1, t + 2) for off in spread(t, d, j) if d or off >= 0]
 
 
 def piece_shapes(edits: int) -> list[tuple]:
@@ -71,7 +72,7 @@ def segments(rows: DataFrame, edits: int) -> DataFrame:
     cut = cut.withColumn("size", F.expr("cast(m div (t + 1) + if(j > t + 1 - m % (t + 1), 1, 0) as int)")).where("at >= 1 AND at + size <= n + 1")
     # bytes are found at once, code points only from the start; the hash is the same
     key = F.expr("if(plain, xxhash64(g, j, substring(cast(rest as binary), at, size)), xxhash64(g, j, substring(rest, at, size)))")
-    return cut.select(key.alias("key"), "id", "equal", "own")
+    return cut.select(key.alias("key"), "id", (F.col("equal") & (F.col("off") == 0)).alias("equal"), "own")
 
 
 def pieces(rows: DataFrame, edits: int) -> DataFrame:
@@ -145,11 +146,17 @@ def near_pieces(a: str, b: str, edits: int) -> Column:
     return F.expr(f"{' + '.join(found) if found else '0'} >= {p - edits}")
 
 
+#: A condition that lines with a common key meet if they are near in the way that the key stands for: what they left out is.
+NEAR_RESTS = "levenshtein(rest, rest2, t) >= 0"
+#: What a line is known by.
+DIGEST = "unhex(md5(line))"
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """Occurrences of the lines that are not blank: document (d, rid), number, digest, line."""
+    """Occurrences of the lines that are not blank: document (d, rid), number, line."""
     each = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
     blank = F.ltrim("line", F.lit(" \t\n\x0b\f\r")) == ""
-    return each.where(~blank).select("d", "rid", "no", F.expr("unhex(md5(line))").alias("digest"), "line")
+    return each.where(~blank)
 
 
 def _linked(pairs: DataFrame, lines: DataFrame, edits: int, near_chars: int, scratch: Scratch, name: str) -> DataFrame:
@@ -173,11 +180,11 @@ def _linked(pairs: DataFrame, lines: DataFrame, edits: int, near_chars: int, scr
 
 
 def _rest(held: DataFrame, lines: DataFrame, edits: int, near_chars: int, scratch: Scratch) -> DataFrame:
-    """Links of each key's lines outside its largest class with all that share it."""
-    held = held.groupBy("key", "id", "root").agg(F.max("own").alias("own"), F.first("bag").alias("bag"))
+    """Links of each key's lines outside its largest class with all that share it, if what they left out is near."""
+    held = held.groupBy("key", "id", "root", "t", "rest").agg(F.max("own").alias("own"), F.first("bag").alias("bag"))
     main = held.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    odd = held.join(main, "key").where("root <> main").select("key", F.col("id").alias("other"), F.col("root").alias("r2"), F.col("own").alias("own2"), F.col("bag").alias("bag2"))
-    rest = held.join(odd, "key").where("root <> r2 AND (own OR own2)").where(near_bags("bag", "bag2", f"{edits}"))
+    odd = held.join(main, "key").where("root <> main").select("key", F.col("id").alias("other"), F.col("root").alias("r2"), F.col("own").alias("own2"), F.col("bag").alias("bag2"), F.col("rest").alias("rest2"))
+    rest = held.join(odd, "key").where("root <> r2 AND (own OR own2)").where(near_bags("bag", "bag2", f"{edits}")).where(NEAR_RESTS)
     return _linked(rest.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")), lines, edits, near_chars, scratch, "links-rest")
 
 
@@ -194,10 +201,10 @@ def near_links(lines: DataFrame, edits: int, short_chars: int, near_chars: int,
         met = index.hint("shuffle_hash").join(keyed, "key").where("k > 1 OR least <> id AND (NOT equal OR least < id)")
         met = scratch.keep(met, f"met-{depth}")
         some = met.where(f"k <= {HOT} AND k > 1")
-        few = some.where("own").select("key", *(c for c in ("id", "bag") if c in met.columns))
-        few = few.join(some.drop("own", "k", "least", "rest", "n", "t", "d").withColumnsRenamed({"id": "other", "bag": "bag2"}), "key").where(apart)
+        few = some.where("own").select("key", *(c for c in ("id", "bag", "rest") if c in met.columns))
+        few = few.join(some.drop("own", "k", "least", "n", "d").withColumnsRenamed({"id": "other", "bag": "bag2", "rest": "rest2"}), "key").where(apart)
         if depth:
-            few = few.where(near_bags("bag", "bag2", f"{edits}")).join(roots.toDF("id", "r1"), "id", "left").join(roots.toDF("other", "r2"), "other", "left").where("coalesce(r1, id) <> coalesce(r2, other)")
+            few = few.where(near_bags("bag", "bag2", f"{edits}")).where(NEAR_RESTS).join(roots.toDF("id", "r1"), "id", "left").join(roots.toDF("other", "r2"), "other", "left").where("coalesce(r1, id) <> coalesce(r2, other)")
         star = met.where(f"(k = 1 OR k > {HOT}) AND id <> least").select("id", F.col("least").alias("other"))
         found = _linked(few.select(*a_b).union(star.select(*a_b)), lines, edits, near_chars, scratch, f"links-{depth}")
         links = found if links is None else links.union(found)
@@ -227,18 +234,16 @@ def near_links(lines: DataFrame, edits: int, short_chars: int, near_chars: int,
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, short_chars: int = SHORT_CHARS, near_chars: int = NEAR_CHARS, scratch: Scratch | None = None) -> DataFrame:
-    """(digest, first): every line content that occurs again, itself or nearly, with the first place (d, rid, no) of its class."""
+    """(digest, id, root): every line content that occurs again, itself or nearly; its class is named by the digest root."""
     scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
-    place = F.struct("d", "rid", "no")
-    lines = _lines(docs).groupBy("digest").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.first("line").alias("line"))
+    # grouped by the lines themselves, in hash tables: a first place or line beside the digest would have them sorted twice
+    lines = _lines(docs).groupBy("line").agg(F.count("*").alias("copies"))
     # ids serve to find candidates: should two lines share one, both are verified
-    lines = scratch.keep(lines.withColumns({"id": F.xxhash64("digest"), "n": F.length("line")}), "lines")
+    lines = scratch.keep(lines.withColumns({"digest": F.expr(DIGEST), "id": F.xxhash64("line"), "n": F.length("line")}), "lines")
     links = near_links(lines.where(F.col("n") >= short_chars), edits, short_chars, near_chars, scratch)
     roots = scratch.keep(components(links, scratch, "cc"), "roots").withColumnRenamed("id", "digest")
-    alone = lines.where("copies > 1").join(roots, "digest", "left_anti").select("digest", F.col("place").alias("first"))
-    linked = lines.select("digest", "place").join(roots, "digest")
-    first = linked.groupBy("root").agg(F.min("place").alias("first"))
-    return alone.union(linked.join(first, "root").select("digest", "first"))
+    alone = lines.where("copies > 1").join(roots, "digest", "left_anti").select("digest", "id", F.col("digest").alias("root"))
+    return alone.union(lines.select("digest", "id").join(roots, "digest").select("digest", "id", "root"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, short_chars: int = SHORT_CHARS, near_chars: int = NEAR_CHARS, scratch: Scratch | None = None) -> DataFrame:
@@ -254,16 +259,25 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, short_chars: int = SHORT_CH
     classes = scratch.keep(line_classes(docs, edits, short_chars, near_chars, scratch), "classes")
     scratch.drop("lines")
     few = classes.count() <= BROADCAST_IDS
-    again = _lines(docs).select("d", "rid", "no", "digest").join(F.broadcast(classes) if few else classes, "digest")
+    if few:  # digests of those lines only whose ids are found
+        again = _lines(docs).withColumn("id", F.xxhash64("line")).join(F.broadcast(classes), "id").where(f"digest = {DIGEST}")
+    else:
+        again = _lines(docs).withColumn("digest", F.expr(DIGEST)).drop("line").join(classes, "digest")
+    again = scratch.keep(again.select("d", "rid", "no", "root"), "again")
+    first = again.groupBy("root").agg(F.min(F.struct("d", "rid", "no")).alias("first"))
+    again = again.join(F.broadcast(first) if few else first, "root")
     same = F.col("d").eqNullSafe(F.col("first.d")) & (F.col("rid") == F.col("first.rid")) & (F.col("no") == F.col("first.no"))
     drops = scratch.keep(again.where(~same).groupBy("d", "rid").agg(F.collect_set("no").alias("__drops")), "drops")
+    scratch.drop("again")
     size = drops.agg(F.count("*").alias("docs"), F.sum(F.size("__drops")).alias("lines")).head()
     few = size["docs"] <= BROADCAST_IDS and (size["lines"] or 0) <= 10 * BROADCAST_IDS
-    keyed = docs.withColumns({"__rid": F.xxhash64("doc_id", "text"), "__parts": F.split("text", "\n")})
+    keyed = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
     drops = drops.withColumnsRenamed({"d": "__d", "rid": "__r"})
     hit = keyed.join(F.broadcast(drops) if few else drops, (F.col("__rid") == F.col("__r")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left")
-    parts = F.col("__parts")  # a column, so that no line's place is sought in a text split anew
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__drops"), lambda i: F.get(parts, i)), "\n")
+    stay = lambda parts: F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__drops"), lambda i: F.get(parts, i))
+    # only texts that lose lines are split, each once: a list of one list binds it
+    kept = F.array_join(F.get(F.transform(F.array(F.split("text", "\n")), stay), F.lit(0)), "\n")
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     n_dropped = F.when(F.col("__drops").isNull(), 0).otherwise(F.size("__drops"))
-    out = hit.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"), "n_dropped": n_dropped.cast("long"), "text": F.when(F.col("__drops").isNull(), F.col("text")).otherwise(kept)})
+    out = hit.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long"), "n_dropped": n_dropped.cast("long"), "text": F.when(F.col("__drops").isNull(), F.col("text")).otherwise(kept)})
     return out.select(*(c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")

@@ -583,6 +583,29 @@ def test_line_dedup_of_short_lines_equals_brute_force(spark, monkeypatch, hot, d
     assert got == want
 
 
+def test_line_dedup_keeps_few_pairs_of_versions_that_are_far_apart(spark, monkeypatch):
+    r, pairs = random.Random(5), []
+    linked = line_dedup._linked
+    monkeypatch.setattr(line_dedup, "HOT", 4)
+    monkeypatch.setattr(line_dedup, "_linked", lambda found, *rest: pairs.append(found.distinct().count()) or linked(found, *rest))
+    base = prose(12, 77)
+    docs = [(i, base + f" {r.randrange(10**8):08d}") for i in range(300)]
+    docs += [(300, docs[7][1][:-1] + "x"), (301, docs[8][1][:-2] + "xy")]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i for i, t in got.items() if t == ""} == {300, 301}
+    assert sum(pairs) < 5 * len(docs)
+
+
+def test_line_dedup_looks_for_the_middle_on_one_side(spark):
+    base = "".join(rng.choice("abcdefghij") for _ in range(60))
+    for a, b in ((base[:10] + "z" + base[10:50] + base[51:], base), (base, base[:10] + "z" + base[10:50] + base[51:])):
+        lines = spark.createDataFrame([(1, a, 60), (2, b, 60)], "id long, line string, n int")
+        keyed = line_dedup.segments(line_dedup.seeds(lines, 2, 20, 40), 2).where("equal OR NOT own").collect()
+        same = [k for k in keyed if k["own"] and any(x["key"] == k["key"] and x["id"] != k["id"] for x in keyed)]
+        assert len(same) == 1
+    assert [x for x in line_dedup.segment_shapes(2) if x[:2] == (2, 0)] == [(2, 0, True, 1, 0), (2, 0, True, 2, 0), (2, 0, False, 2, 1), (2, 0, True, 3, 0)]
+
+
 def test_line_dedup_odd_rows(spark, odd):
     got = line_dedup.dedup_lines(odd)
     assert got.count() == odd.count() and set(got.columns) == {*odd.columns, "n_dropped"}
