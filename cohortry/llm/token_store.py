@@ -15,6 +15,7 @@ shared, root), ``manifest/`` (segment, n_docs, n_tokens, root, seg_base) and ``t
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -91,24 +92,26 @@ def _encode_rows(vocab: str, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("ends", pa.binary()), ("ids", pa.binary())])
 
     def rows(batches):
-        enc, end = encoder(vocab), np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part, cols = b.slice(lo, 256), ([], [], [], [])
-                coded = [raw + end for raw in enc.encode(part["text"].to_pylist())]
-                first = np.cumsum([0, *(len(raw) // 4 for raw in coded)])
-                # all documents at once; a mark whose window reaches back into another document doesn't count
-                at = marks(np.frombuffer(b"".join(coded), "<u4"))
-                doc = np.searchsorted(first, at, "left") - 1
-                at, doc = (x[at - first[doc] >= WINDOW] for x in (at, doc))
-                split = np.split(at, np.searchsorted(doc, np.arange(1, len(coded))))
-                for k, raw in enumerate(coded):
-                    ends = cuts(len(raw) // 4, (split[k] - first[k]).tolist())
-                    cols[0].append(len(raw) // 4)
-                    cols[1].append(b"".join(digest(raw[4 * s : 4 * e]) for s, e in zip([0, *ends], ends)))
-                    cols[2].append(np.array(ends, "<i8").tobytes())
-                    cols[3].append(_pack(raw))
-                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), part["row"].cast(pa.int64()), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], schema=schema)
+        enc = encoder(vocab)
+        for b in (x for x in batches if x.num_rows):
+            found, ends = enc.flat(b["text"])
+            ids, cols = np.insert(found, ends, end_id), ([], [], [])
+            first = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+            # many documents at once; a mark whose window reaches back into another document doesn't count
+            found = [marks(ids[first[lo] : first[min(lo + 256, b.num_rows)]]) + first[lo] for lo in range(0, b.num_rows, 256)]
+            at = np.concatenate([np.zeros(0, np.int64), *found])
+            doc = np.searchsorted(first, at, "left") - 1
+            at, doc = (x[at - first[doc] >= WINDOW] for x in (at, doc))
+            split = np.searchsorted(doc, np.arange(b.num_rows + 1)).tolist()
+            at = (at - first[doc]).tolist()
+            raw, bounds = memoryview(ids.astype("<u4", copy=False)).cast("B"), first.tolist()
+            few = memoryview(ids.astype("<u2")).cast("B") if int(ids.max()) < 65536 else None
+            for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+                ends = cuts(hi - lo, at[split[k] : split[k + 1]])
+                cols[0].append(b"".join([digest(raw[4 * (lo + s) : 4 * (lo + e)]) for s, e in zip([0, *ends], ends)]))
+                cols[1].append(struct.pack(f"<{len(ends)}q", *ends))
+                cols[2].append(_pack(raw[4 * lo : 4 * hi]) if few is None else b"s" + _zstd()[0](few[2 * lo : 2 * hi]))
+            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), b["row"].cast(pa.int64()), pa.array(np.diff(first)), *(pa.array(c, pa.binary()) for c in cols)], schema=schema)
 
     return rows
 

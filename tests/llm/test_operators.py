@@ -193,6 +193,21 @@ def test_new_pieces_reach_the_library_in_short_texts(monkeypatch):
     assert max(len(t.split()) for t in seen) == tokens.SHORT
 
 
+def test_words_lines_and_marks_are_encoded_apart():
+    """Pieces across line ends and marks never reach the memory as they are, and the ids are those of the library."""
+    ref, enc = encoder(), Encoder("byte_bpe_50k.json")
+    text = "tish.\nNdatwh, eronsh tish\ntish!"
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode([text])] == [ref(text)]
+    assert set(enc.spaced) == {"eronsh", "tish"} and set(enc.known) >= {"tish", "Ndatwh", "\n", ".", ",", "!"}
+    parts, ends = ["tish", "Être", "日本", "a1", "don't", "x_y", "...", "<|endoftext|>", ".net", "²"], [" ", " ", "\n", ".\n", "!? ", ",", "_"]
+    texts = ["".join(rng.choice(parts) + rng.choice(ends) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    more = [rng.choice(["", " ", "\n", " ", "\n\n"]) + t + rng.choice(["", " ", "\n", "\n\n", "\t"]) for t in texts]
+    for some in (texts, more, [t for t in more if "\n" not in t.strip()] + [None, "", "\n", "\n\n", " \n", "\n "]):
+        ids, at = enc.flat(some)
+        assert [x.tolist() for x in np.split(ids, at)[:-1]] == [ref(t) for t in some]
+    assert [len(x) for x in enc.flat([])] == [0, 0]
+
+
 def test_token_store_round_trip(spark, odd):
     shared = prose(400, 8)
     more = spark.createDataFrame([(100 + i, prose(50, i) + " " + shared + " " + prose(50, i + 50)) for i in range(6)], "doc_id long, text string")
