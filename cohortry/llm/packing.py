@@ -99,23 +99,23 @@ def _piece_rows(vocab: str, end_id: int, room: int):
     def rows(batches):
         from pyspark import TaskContext
 
-        enc, end, part = encoder(vocab), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        enc, part = encoder(vocab), TaskContext.get().partitionId()
         ranks: dict[int, int] = {}
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                some, cols = b.slice(lo, 256), [[] for _ in schema]
-                for doc, row, raw in zip(some["doc_id"].to_pylist(), some["row"].to_pylist(), enc.encode(some["text"].to_pylist())):
-                    raw += end
-                    n = len(raw) // 4
-                    for s in range(0, n, room):
-                        length = min(room, n - s)
-                        size = room if length == room else min(-(-length // GRID) * GRID, room)
-                        key = size if length < room else 0
-                        rank = ranks.get(key, 0)
-                        ranks[key] = rank + 1
-                        for c, v in zip(cols, (doc, row, s, length, zlib.crc32(raw[4 * s : 4 * (s + length)]), n, key, part, rank)):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        for b in (x for x in batches if x.num_rows):
+            ids, ends = enc.flat(b["text"])
+            raw, cols = memoryview(np.insert(ids, ends, end_id).astype("<u4", copy=False)).cast("B"), [[] for _ in schema]
+            at = 0
+            for doc, row, n in zip(b["doc_id"].to_pylist(), b["row"].to_pylist(), (np.diff(ends, prepend=0) + 1).tolist()):
+                for s in range(0, n, room):
+                    length = min(room, n - s)
+                    size = room if length == room else min(-(-length // GRID) * GRID, room)
+                    key = size if length < room else 0
+                    rank = ranks.get(key, 0)
+                    ranks[key] = rank + 1
+                    for c, v in zip(cols, (doc, row, s, length, zlib.crc32(raw[4 * (at + s) : 4 * (at + s + length)]), n, key, part, rank)):
+                        c.append(v)
+                at += n
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return rows
 

@@ -294,6 +294,24 @@ def test_packing_places_every_id_once(spark, odd):
     assert packing.pack(none_of(spark, docs)).count() == 0
 
 
+def test_packing_encodes_a_batch_at_once(monkeypatch):
+    """All texts of a batch go to the encoder in one call, and its pieces hold the library's ids with the end id."""
+    import pyspark
+
+    calls, flat = [], Encoder.flat
+    monkeypatch.setattr(Encoder, "flat", lambda self, texts: calls.append(len(texts)) or flat(self, texts))
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 3})()))
+    texts = [*(prose(5, k) for k in range(600)), None, "", prose(3000)]
+    batch = pa.record_batch({"doc_id": [*range(len(texts))], "row": [*range(len(texts))], "text": texts})
+    got = [r for b in packing._piece_rows("byte_bpe_50k.json", 0, 1024)([batch.slice(0, 0), batch]) for r in b.to_pylist()]
+    assert calls == [len(texts)]
+    ref, want = encoder(), []
+    for k, t in enumerate(texts):
+        ids = np.array([*ref(t), 0], "<u4")
+        want += [(k, s, len(ids[s : s + 1024]), zlib.crc32(ids[s : s + 1024].tobytes()), len(ids)) for s in range(0, len(ids), 1024)]
+    assert [(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got] == want
+
+
 def test_token_counts_and_cache(spark, odd):
     cache = Scratch(spark, "cache").path("counts")
     ref = encoder()
